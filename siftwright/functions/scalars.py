@@ -65,10 +65,15 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
 
 
 def ols_slope(v: Column | str, t: Column | str) -> Column:
-    """Least-squares slope of ``v`` on ``t``; 0 for a constant or one-point series (aggregate)."""
+    """Least-squares slope of ``v`` on ``t``; 0 for a constant or one-point series (aggregate).
+
+    A slope within rounding error of the values counts as 0, so that its sign means something.
+    """
     v, t = col(v).cast("double"), col(t).cast("double")
     flat = (F.min(v) == F.max(v)) | (F.min(t) == F.max(t))
-    return F.when(flat, F.lit(0.0)).otherwise(F.regr_slope(v, t))
+    slope = F.regr_slope(v, t)
+    residue = F.abs(slope) <= F.max(F.abs(v)) * F.lit(1e-12)
+    return F.when(flat | residue, F.lit(0.0)).otherwise(slope)
 
 
 def trend_r2(v: Column | str, t: Column | str) -> Column:

@@ -14,21 +14,27 @@ from .profile import row_count, value_counts
 
 
 # ------------------------------------------------------------------ duplicates
-def key_variants(df: DataFrame) -> DataFrame:
-    """Distinct rows (two NULLs are equal) with the number of identical copies of each."""
-    return df.groupBy(*df.columns).agg(row_count().alias("copies"))
+def differs(c: str) -> Column:
+    """Whether a column takes more than one value in a group, NULL counted as a value (aggregate).
 
+    Two values differ when minimum and maximum do, so no distinct set is kept and the partial
+    results of a hot key stay one row per task.
+    """
+    gap = (F.count(c) > 0) & (F.count(c) < F.count(F.lit(1)))
+    return F.coalesce(F.min(c) != F.max(c), F.lit(False)) | gap
 
-def _dup_class(rows: str, variants: str) -> Column:
-    return (
-        F.when(F.col(rows) == 1, "unique").when(F.col(variants) == 1, "exact").otherwise("conflict")
-    )
+
+def _conflict(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [differs(c) for c in columns], F.lit(False))
 
 
 def key_classes(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key: rows, distinct rows, and the class unique / exact / conflict."""
-    per_key = key_variants(df).groupBy(*key).agg(F.sum("copies").alias("n_rows"), row_count().alias("n_variants"))
-    return per_key.withColumn("dup_class", _dup_class("n_rows", "n_variants"))
+    """One row per key: its rows and the class unique / exact / conflict (two NULLs are equal)."""
+    rest = [c for c in df.columns if c not in key]
+    per_key = df.groupBy(*key).agg(row_count().alias("n_rows"), _conflict(rest).alias("__conflict"))
+    return per_key.select(*key, "n_rows", (
+        F.when(F.col("n_rows") == 1, "unique").when(F.col("__conflict"), "conflict").otherwise("exact")
+    ).alias("dup_class"))
 
 
 def duplicate_summary(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -62,29 +68,20 @@ def keep_first(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None
     rest = [c for c in df.columns if c not in key]
     lead = list(order_by or [])
     order = lead + [c for c in rest if c not in lead]
-    variants = key_variants(df)
-    agg = variants.groupBy(*key).agg(
-        F.min(F.struct(*order)).alias("first"), F.sum("copies").alias("dup_rows"), row_count().alias("variants")
+    agg = df.groupBy(*key).agg(
+        F.min(F.struct(*order)).alias("first"), row_count().alias("dup_rows"), _conflict(rest).alias("dq_dup_conflict")
     )
     return agg.select(
-        *[F.col(c) if c in key else F.col(f"first.{c}").alias(c) for c in df.columns],
-        "dup_rows", (F.col("variants") > 1).alias("dq_dup_conflict"),
+        *[F.col(c) if c in key else F.col(f"first.{c}").alias(c) for c in df.columns], "dup_rows", "dq_dup_conflict"
     )
 
 
 def differing_columns(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """For every conflicting key the columns on which its rows disagree (NULL counts as a value).
-
-    Two values differ when minimum and maximum do, so no distinct sets are kept.
-    """
+    """For every conflicting key the columns on which its rows disagree (NULL counts as a value)."""
     rest = [c for c in df.columns if c not in key]
-
-    def differs(c: str) -> Column:
-        return (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count(F.lit(1))))
-
     per_key = df.groupBy(*key).agg(
         row_count().alias("n_rows"),
-        F.array_compact(F.array(*[F.when(F.coalesce(differs(c), F.lit(False)), F.lit(c)) for c in rest])).alias("cols"),
+        F.array_compact(F.array(*[F.when(differs(c), F.lit(c)) for c in rest])).alias("cols"),
     )
     return per_key.where(F.size("cols") > 0).select(
         *key, "n_rows", F.size("cols").cast("bigint").alias("n_differing"),

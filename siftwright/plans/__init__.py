@@ -1,4 +1,6 @@
-from . import integrity_queries, profile_queries  # noqa: F401 - registering is the import's purpose
+from . import (  # noqa: F401 - registering is the import's purpose
+    audit_queries, detector_queries, feature_queries, integrity_queries, profile_queries, statistics_queries,
+)
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
 
@@ -29,10 +30,8 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison with another engine's last bits."""
-    from pyspark.sql import functions as F
-
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
+    """Doubles rounded for comparison with another engine's last bits; ``special`` per column."""
     return df.select(*[
-        F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+        F.round(c, special.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
     ])

@@ -36,9 +36,12 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._scans: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._scans[name]
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
