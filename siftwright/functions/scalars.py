@@ -86,3 +86,13 @@ def trend_r2(v: Column | str, t: Column | str) -> Column:
 def half_ratio(first: Column | str, last: Column | str) -> Column:
     """Late level over early level; NULL when the early level is not positive."""
     return safe_ratio(last, first, None)
+
+
+def utc_instant(c: Column | str) -> Column:
+    """A zone-less timestamp read as UTC, whatever the session's zone (watermarks need an instant)."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(c)).cast("timestamp")
+
+
+def utc_day(c: Column | str) -> Column:
+    """UTC calendar day of an instant as text, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(col(c), F.current_timezone()), "yyyy-MM-dd")

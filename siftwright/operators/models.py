@@ -33,10 +33,13 @@ def _shuffle_hash(seed: Column | int | str, key: str) -> Column:
     return F.md5(F.concat_ws(":", s.cast("string"), F.col(key).cast("string")))
 
 
-def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, *, name: str = "fold") -> DataFrame:
-    """Fold number 0..k-1 per row, dealt in hash order within each label; the same in any engine."""
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, *, by: Sequence[str] = (), name: str = "fold") -> DataFrame:
+    """Fold number 0..k-1 per row, dealt in hash order within each label; the same in any engine.
+
+    ``by`` deals separately inside further groups, such as the draws of a permutation test.
+    """
     hashed = df.withColumn("__h", _shuffle_hash(seed, key))
-    placed = add_position(hashed, ["__h", key], [label], name="__pos")
+    placed = add_position(hashed, ["__h", key], [*by, label], name="__pos")
     return placed.withColumn(name, ((F.col("__pos") - 1) % k).cast("int")).drop("__h", "__pos")
 
 
@@ -144,6 +147,15 @@ def _parallel(spark, fn: Callable, items: Sequence, threads: int) -> list:
         return list(pool.map(run, items))
 
 
+def _fold_table(data: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """The folded matrix, written once and cached: fits neither repeat its lineage nor its shuffles.
+
+    Read back, its partitions follow the data's size instead of the shuffle width, which is what
+    the many small passes of an iterative fit pay for.
+    """
+    return materialize(stratified_folds(data, key, "label", k, seed), "folds").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # ------------------------------------------------------------------ out-of-fold scores
 def oof_scores(
     matrix: Matrix,
@@ -163,7 +175,7 @@ def oof_scores(
     data = matrix.data.withColumnsRenamed({matrix.label: "label"}) if matrix.label != "label" else matrix.data
     if weights:
         data = data.withColumns(dict(weights))
-    data = stratified_folds(data, matrix.key, "label", k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _fold_table(data, matrix.key, k, seed)
     try:
         n = data.count()
         train_rows = n * (k - 1) / k
@@ -203,23 +215,25 @@ def label_null(matrix: Matrix, *, draws: int = 20, k: int = 5, seed: int = 42, t
     """
     spark = matrix.data.sparkSession
     shuffled = permute_labels(matrix.data.select(matrix.key, matrix.label), matrix.key, matrix.label, draws)
-    wide = shuffled.groupBy(matrix.key).agg(*[
-        F.max(F.when(F.col("draw") == d, F.col(matrix.label))).alias(f"y{d}") for d in range(draws)
+    folded = stratified_folds(shuffled, matrix.key, matrix.label, k, seed, by=["draw"])
+    wide = folded.groupBy(matrix.key).agg(*[
+        F.max(F.when(F.col("draw") == d, F.col(c))).cast("int").alias(f"{short}{d}")
+        for d in range(draws) for short, c in (("y", matrix.label), ("f", "fold"))
     ])
-    data = matrix.data.select(matrix.key, "features").join(wide, matrix.key).persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(matrix.data.select(matrix.key, "features").join(wide, matrix.key), "null-matrix")
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = data.count()
 
-        def one(d: int) -> DataFrame:
-            drawn = stratified_folds(
-                data.select(matrix.key, "features", F.col(f"y{d}").cast("int").alias("label")), matrix.key, "label", k, seed)
-            parts = []
-            for f in range(k):
-                model = logistic(n * (k - 1) / k).fit(drawn.where(F.col("fold") != f))
-                parts.append(positive_probability(model, drawn.where(F.col("fold") == f), matrix.key, "label"))
-            return union_all(parts).select(F.lit(d).alias("draw"), "label", "score")
+        def one(task: tuple[int, int]) -> DataFrame:
+            d, f = task
+            drawn = data.select("features", F.col(f"y{d}").alias("label"), F.col(f"f{d}").alias("fold"))
+            model = logistic(n * (k - 1) / k).fit(drawn.where(F.col("fold") != f))
+            return positive_probability(model, drawn.where(F.col("fold") == f), "label").select(
+                F.lit(d).alias("draw"), "label", "score")
 
-        scores = materialize(union_all(_parallel(spark, one, list(range(draws)), threads)), "null-scores")
+        tasks = [(d, f) for d in range(draws) for f in range(k)]
+        scores = materialize(union_all(_parallel(spark, one, tasks, threads)), "null-scores")
     finally:
         data.unpersist()
     return score_metrics(scores, "score", "label", ["draw"]).select(
@@ -275,8 +289,7 @@ def permutation_importance(model: Model, held: DataFrame, key: str, names: Seque
 
 def cross_importance(matrix: Matrix, estimator: Callable[[float], Estimator], *, k: int = 5, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Permutation importance averaged over folds, so that every row is held out exactly once."""
-    data = matrix.data.withColumnRenamed(matrix.label, "label")
-    data = stratified_folds(data, matrix.key, "label", k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _fold_table(matrix.data.withColumnRenamed(matrix.label, "label"), matrix.key, k, seed)
     try:
         n = data.count()
 
@@ -306,10 +319,10 @@ def sampled_shapley(model: Model, rows: DataFrame, key: str, names: Sequence[str
         F.sequence(F.lit(0), F.lit(d - 1)),
         lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("rep"), F.col(key), i).alias("h"), i.alias("i"))))
     walk = paired.withColumn("order", F.transform(order, lambda s: s.getField("i")))
-    steps = walk.select(key, "rep", "x", "z", "order", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("s"))
+    walk = walk.withColumn("rank", F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.array_position("order", i)))
+    steps = walk.select(key, "rep", "x", "z", "order", "rank", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("s"))
     # own values for the first s features of the order, the donor's for the rest
-    own = F.slice("order", 1, F.col("s"))
-    mixed = F.transform("x", lambda v, i: F.when(F.array_contains(own, i), v).otherwise(F.get("z", i)))
+    mixed = F.transform("x", lambda v, i: F.when(F.get("rank", i) <= F.col("s"), v).otherwise(F.get("z", i)))
     scored = positive_probability(
         model, steps.select(key, "rep", "s", "order", array_to_vector(mixed).alias("features")), key, "rep", "s", "order")
     # d + 1 scores per walk

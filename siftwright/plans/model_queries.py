@@ -94,18 +94,22 @@ def permutation_importance(t: Tables) -> DataFrame:
 def sampled_shapley(t: Tables) -> DataFrame:
     # explaining 1,000 seeded rows is the operator: reports read shares per feature
     m = embedding_matrix(t)
-    model = L.forest(30, depth=6).fit(m.data)
-    return L.sampled_shapley(model, seeded_sample(m.data, m.key, 1000, 42), m.key, m.names, repeats=2)
+    data = materialize(m.data, "embedding-matrix")
+    model = L.forest(30, depth=6).fit(data)
+    return L.sampled_shapley(model, seeded_sample(data, m.key, 1000, 42), m.key, m.names, repeats=2)
 
 
 @query("logistic_attribution")
 def logistic_attribution(t: Tables) -> DataFrame:
     m = customer_matrix(t)
-    n = m.data.count()
-    scaler, lr = L.logistic(n).fit(m.data).stages
+    data = materialize(m.data, "customer-matrix").persist()
+    try:
+        scaler, lr = L.logistic(data.count()).fit(data).stages
+    finally:
+        data.unpersist()
     # coefficients act on standardised values; divide by the sd to act on raw ones
     weights = {c: float(w / s) if s > 0 else 0.0 for c, w, s in zip(m.names, lr.coefficients, scaler.std)}
-    return G.attribution_shares(m.data, weights)
+    return G.attribution_shares(data, weights)
 
 
 @query("score_sink")
