@@ -268,13 +268,20 @@ def _donors(rows: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
     return left.join(right, ["rep", "__pos"]).drop("__pos")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Over all cores before every row is multiplied by the features; its few bytes would else share a task."""
+    spark = rows.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(width)
+
+
 def permutation_importance(model: Model, held: DataFrame, key: str, names: Sequence[str], *, repeats: int = 5, seed: int = 42) -> DataFrame:
     """AUC lost on held-out rows when one feature takes another row's value.
 
     All features and repeats are scored in one pass over rows x features x repeats.
     """
     rows = materialize(held.select(key, "label", vector_to_array("features").alias("x")), "importance-rows")
-    paired = rows.join(_donors(rows.select(key, "x"), key, repeats, seed), key)
+    paired = _spread(rows.join(_donors(rows.select(key, "x"), key, repeats, seed), key))
     d = len(names)
     each = paired.select("rep", "label", "x", "z", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("j"))
     mixed = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("z", i)).otherwise(v))
@@ -314,7 +321,7 @@ def sampled_shapley(model: Model, rows: DataFrame, key: str, names: Sequence[str
     """
     vectors = materialize(rows.select(key, vector_to_array("features").alias("x")), "shapley-rows")
     d = len(names)
-    paired = vectors.join(_donors(vectors, key, repeats, seed), key)
+    paired = _spread(vectors.join(_donors(vectors, key, repeats, seed), key))
     order = F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(d - 1)),
         lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("rep"), F.col(key), i).alias("h"), i.alias("i"))))

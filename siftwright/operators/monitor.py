@@ -26,8 +26,8 @@ def reference_bins(reference: DataFrame, metrics: Sequence[str], bins: int = 10)
     probs = {f"q{i}": i / bins for i in range(1, bins)}
     edges = quantiles(long, "value", probs, ["metric"]).select(
         "metric", F.array_distinct(F.array(*[F.col(k) for k in probs])).alias("edges"))
-    binned = _binned(long, edges, bins)
-    return binned.groupBy("metric", "edges").agg(_bin_counts(bins).alias("ref_counts"))
+    counts = _binned(long, edges, bins).groupBy("metric").agg(bin_counts(bins).alias("ref_counts"))
+    return edges.join(counts, "metric")
 
 
 def _binned(long: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
@@ -36,11 +36,11 @@ def _binned(long: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
     return tagged.withColumn("bin", edges_passed(F.col("edges"), F.col("value"), bins))
 
 
-def _bin_counts(bins: int) -> Column:
+def bin_counts(bins: int) -> Column:
     return F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)])
 
 
-def _psi(edges: Column, base: Column, comp: Column) -> Column:
+def psi_of_counts(edges: Column, base: Column, comp: Column) -> Column:
     """Index from two count arrays over the bins the edges make."""
     used = F.size(edges) + 1
 
@@ -63,11 +63,11 @@ def psi(panel: DataFrame, period: str, metrics: Sequence[str], reference: Column
     """
     base = reference_bins(panel.where(reference), metrics, bins)
     long = unpivot(panel.withColumn("__ref", reference), metrics, [period, "__ref"]).where("value is not null")
-    counts = _binned(long, base, bins).groupBy("metric", period).agg(
-        _bin_counts(bins).alias("counts"), row_count().alias("n"), F.bool_or("__ref").alias("in_reference"),
-        F.first("edges").alias("edges"), F.first("ref_counts").alias("ref_counts"))
-    return counts.select(
-        "metric", period, "n", "in_reference", _psi(F.col("edges"), F.col("ref_counts"), F.col("counts")).alias("psi"))
+    counts = _binned(long, base.select("metric", "edges"), bins).groupBy("metric", period).agg(
+        bin_counts(bins).alias("counts"), row_count().alias("n"), F.bool_or("__ref").alias("in_reference"))
+    # back to the one reference row per metric, now on aggregated rows
+    return counts.join(F.broadcast(base), "metric").select(
+        "metric", period, "n", "in_reference", psi_of_counts(F.col("edges"), F.col("ref_counts"), F.col("counts")).alias("psi"))
 
 
 def psi_wide(table: DataFrame, period: str, metrics: Mapping[str, str]) -> DataFrame:

@@ -77,19 +77,20 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *, appr
         x for f in df.schema.fields if f.name in columns for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))
     ])
     if approximate:
-        flat = long_stats(df, columns, {
-            "n": lambda c: F.count(F.lit(1)),
+        counts = long_stats(df, columns, {
+            "n": lambda c: row_count(),
             "nulls": lambda c: F.count_if(F.col(c).isNull()),
             "n_distinct": lambda c: F.approx_count_distinct(c),
-            "example": lambda c: F.min(F.col(c).cast("string")),
         })
     else:
-        flat = value_counts(df, columns).groupBy("column").agg(
+        counts = value_counts(df, columns).groupBy("column").agg(
             F.sum("n").alias("n"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
             F.count("value").alias("n_distinct"),
-            F.min("value").alias("example"),
         )
+    # smallest strings in an aggregate without keys: no sort, unlike one grouped by column
+    examples = long_stats(df, columns, {"example": lambda c: F.min(F.col(c).cast("string"))})
+    flat = counts.join(examples, "column")
     return flat.select(
         "column", kinds[F.col("column")].alias("dtype"),
         "n", "nulls", (F.col("nulls") * 100.0 / F.col("n")).alias("null_pct"), "n_distinct", "example",

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.monitor import _psi
 from ..functions.binning import edges_passed
+from ..operators.monitor import bin_counts, psi_of_counts
 from ..sources.scratch import scratch_path
 
 
@@ -66,11 +66,13 @@ def window_psi(stream: DataFrame, reference: DataFrame, metrics: Sequence[str],
     """
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     long = stream.withWatermark(time, delay).select(time, F.inline(cells)).where("value is not null")
-    placed = long.join(F.broadcast(reference), "metric").withColumn("bin", edges_passed(F.col("edges"), F.col("value"), bins))
-    counts = placed.groupBy(F.window(time, window).alias("w"), "metric", "edges", "ref_counts").agg(
-        F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("counts"), F.count(F.lit(1)).alias("n"))
-    return counts.select(
-        "metric", F.col("w.start").alias("window_start"), "n", _psi(F.col("edges"), F.col("ref_counts"), F.col("counts")).alias("psi"))
+    edges = reference.select("metric", "edges")
+    placed = long.join(F.broadcast(edges), "metric").withColumn("bin", edges_passed(F.col("edges"), F.col("value"), bins))
+    counts = placed.groupBy(F.window(time, window).alias("w"), "metric").agg(
+        bin_counts(bins).alias("counts"), F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(reference), "metric").select(
+        "metric", F.col("w.start").alias("window_start"), "n",
+        psi_of_counts(F.col("edges"), F.col("ref_counts"), F.col("counts")).alias("psi"))
 
 
 def flag_before_start_stream(stream: DataFrame, entity: DataFrame, *, key: str, entity_key: str, time: str, start: str, flag: str = "dq_before_start") -> DataFrame:
