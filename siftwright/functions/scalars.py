@@ -59,9 +59,10 @@ def adjusted_kurtosis(c: Column | str) -> Column:
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation, NULL when either side is constant (aggregate)."""
+    # the built-in corr divides by zero on a constant before any guard around it is looked at
     both = col(x).isNotNull() & col(y).isNotNull()
     xs, ys = F.when(both, col(x)).cast("double"), F.when(both, col(y)).cast("double")
-    return F.when((F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys)), F.corr(xs, ys))
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
 def ols_slope(v: Column | str, t: Column | str) -> Column:

@@ -137,8 +137,8 @@ def zero_floor(df: DataFrame, column: str, companions: Sequence[str]) -> DataFra
         *[a for c in companions for a in (
             F.avg(F.when(x == 0, F.col(c))).alias(f"{c}_at_zero"), F.avg(c).alias(f"{c}_all"))],
     )
-    return row.withColumn("expected_below", norm_cdf(-F.col("mu") / F.col("sd")) * F.col("n")).withColumn(
-        "zero_pct", F.col("at_zero") * 100 / F.col("n"))
+    return row.withColumn("expected_below", norm_cdf(F.try_divide(-F.col("mu"), F.col("sd"))) * F.col("n")).withColumn(
+        "zero_pct", F.try_divide(F.col("at_zero") * 100, F.col("n")))
 
 
 def uniform_shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -156,7 +156,7 @@ def uniform_shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return s.join(flat, "column").select(
         "*", ((F.col("lo") + F.col("hi")) / 2).alias("uniform_mean"),
         F.sqrt((m * m - 1) / 12).alias("uniform_sd"),
-        (-6.0 / 5.0 * (m * m + 1) / (m * m - 1)).alias("uniform_kurt"),
+        F.try_divide(-6.0 / 5.0 * (m * m + 1), m * m - 1).alias("uniform_kurt"),
     )
 
 
@@ -180,7 +180,7 @@ def tail_excess(df: DataFrame, column: str, cutoffs: Sequence[float]) -> DataFra
     long = row.select("n", "mu", "sd", F.inline(F.array(*[
         F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"c{i}").alias("observed")) for i, c in enumerate(cutoffs)
     ])))
-    z = (F.ln("cutoff") - F.col("mu")) / F.col("sd")
+    z = F.try_divide(F.ln("cutoff") - F.col("mu"), F.col("sd"))
     return long.select("cutoff", "n", "mu", "sd", "observed", (norm_cdf(-z) * F.col("n")).alias("expected"))
 
 

@@ -126,7 +126,7 @@ def fan_out(left: DataFrame, right: DataFrame, left_key: str, right_key: str) ->
     rows_in = left.agg(row_count()).scalar()
     out = a.join(b, "key").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("rows_out"))
     return out.select(
-        rows_in.alias("rows_in"), "rows_out", (F.col("rows_out") / rows_in).alias("fan_out")
+        rows_in.alias("rows_in"), "rows_out", F.try_divide("rows_out", rows_in).alias("fan_out")
     )
 
 
@@ -158,7 +158,7 @@ def before_start_summary(flagged: DataFrame, key: str, flag: str = "dq_before_st
         F.max("lag").alias("max_days"),
     )
     median = quantiles(flagged.where(flag), "days_before_start", {"m": 0.5}).scalar()
-    return row.select("*", median.alias("median_days"), (F.col("affected_rows") * 100 / F.col("n_rows")).alias("affected_pct"))
+    return row.select("*", median.alias("median_days"), F.try_divide(F.col("affected_rows") * 100, F.col("n_rows")).alias("affected_pct"))
 
 
 def calendar_gaps(df: DataFrame, period: Column | str, unit: str = "month") -> DataFrame:

@@ -66,7 +66,7 @@ def base_rate_scores(folded: DataFrame, key: str, label: str, fold: str = "fold"
     """The no-skill model: every row gets the label mean of the other folds."""
     per = folded.groupBy(fold).agg(F.sum(label).alias("y"), F.count(label).alias("n"))
     total = folded.agg(F.struct(F.sum(label).alias("y"), F.count(label).alias("n"))).scalar()
-    outside = per.select(fold, ((total.getField("y") - F.col("y")) / (total.getField("n") - F.col("n"))).alias("score"))
+    outside = per.select(fold, F.try_divide(total.getField("y") - F.col("y"), total.getField("n") - F.col("n")).alias("score"))
     # one row per fold
     return folded.select(key, label, fold).join(F.broadcast(outside), fold)
 
@@ -128,7 +128,7 @@ def balanced_weight(df: DataFrame, label: str) -> Column:
     """Weight n / (2 * rows of the class), so both classes count the same."""
     s = df.agg(F.struct(row_count().alias("n"), F.count_if(F.col(label) == 1).alias("p"))).scalar()
     n, p = s.getField("n"), s.getField("p")
-    return F.when(F.col(label) == 1, n / (2 * p)).otherwise(n / (2 * (n - p)))
+    return F.when(F.col(label) == 1, F.try_divide(n, 2 * p)).otherwise(F.try_divide(n, 2 * (n - p)))
 
 
 def cost_weight(label: str, loss: float = 5.0, offer: float = 1.0) -> Column:

@@ -4,8 +4,8 @@ A window without a partition key would pull every row into one task, and Spark's
 ``percentile`` keeps every distinct value of a group in one buffer. Both are avoided the same way:
 
 1. collapse to distinct values first (a hot value becomes one row, combined map-side);
-2. cut the value range into buckets at a small sorted sample of those values. The sample is the
-   set of values with the smallest hashes, so it is the same on every run and after a lost task;
+2. cut the value range into buckets at a small sorted sample of those values. The sample is chosen
+   by the values' hashes, so it is the same on every run and after a lost task;
 3. order inside each bucket, and add each bucket's offset from a table of bucket totals.
 
 Cuts are taken on (group..., value) together, so a group that holds most of the rows spreads over
@@ -38,9 +38,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _with_bucket(df: DataFrame, order: Column) -> DataFrame:
+def _with_bucket(df: DataFrame, order: Column, source: DataFrame | None = None) -> DataFrame:
+    """Add the bucket of ``order``; ``source`` holds the same values in a form cheaper to scan."""
     n = bucket_count(df)
-    sample = df.select(order.alias("k")).orderBy(F.xxhash64("k"), "k").limit(n - 1)
+    # one distinct value in 256, by hash, is candidate for a cut: the pass shuffles next to nothing,
+    # and a table with few distinct values needs few buckets anyway; no row is left out of a bucket
+    candidates = (source or df).select(order.alias("k")).where(F.xxhash64("k").bitwiseAND(F.lit(255)) == 0).distinct()
+    sample = candidates.orderBy(F.xxhash64("k"), "k").limit(n - 1)
     cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("cuts")).scalar()
     return (
         df.withColumn("__cuts", cuts)
@@ -76,12 +80,12 @@ def ordered_counts(
     by = list(by)
     sums = dict(sums or {})
     counts = ["n", *sums]
+    present = df.where(F.col(value).isNotNull())
     per_value = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
+        present.groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    bucketed = _with_bucket(per_value, F.struct(*by, value))
+    bucketed = _with_bucket(per_value, F.struct(*by, value), present)
     inside = (
         Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -162,8 +166,9 @@ def add_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *,
 
 def consecutive_gaps(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the next larger value and the gap between them."""
-    distinct = df.where(F.col(value).isNotNull()).select(F.col(value).alias("lower")).distinct()
-    bucketed = _with_bucket(distinct, F.struct("lower"))
+    present = df.where(F.col(value).isNotNull()).select(F.col(value).alias("lower"))
+    distinct = present.distinct()
+    bucketed = _with_bucket(distinct, F.struct("lower"), present)
     firsts = bucketed.groupBy(_BUCKET).agg(F.min("lower").alias("__first"))
     # at most bucket_count() rows
     follow = firsts.select(
@@ -171,5 +176,5 @@ def consecutive_gaps(df: DataFrame, value: str) -> DataFrame:
     )
     inside = Window.partitionBy(_BUCKET).orderBy("lower")
     local = bucketed.withColumn("__lead", F.lead("lower").over(inside))
-    joined = local.join(follow, _BUCKET).select("lower", F.coalesce("__lead", "__next").alias("upper"))
+    joined = null_safe_join(local, follow, [_BUCKET]).select("lower", F.coalesce("__lead", "__next").alias("upper"))
     return joined.where("upper is not null").withColumn("gap", F.col("upper") - F.col("lower"))

@@ -199,13 +199,14 @@ def histogram_equal_width(df: DataFrame, column: str, bins: int) -> DataFrame:
     x = F.col(column).cast("double")
     ends = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))).scalar()
     lo, width = ends.getField("lo"), (ends.getField("hi") - ends.getField("lo")) / bins
-    at = F.least(F.floor((x - lo) / width), F.lit(bins - 1))
+    # a constant column has bins of no width: everything falls into the first
+    at = F.coalesce(F.least(F.floor(F.try_divide(x - lo, width)), F.lit(bins - 1)), F.lit(0))
     counts = df.where(x.isNotNull()).groupBy(at.cast("int").alias("bin")).agg(row_count().alias("n"))
     grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = grid.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
     return full.select(
         "bin", (lo + F.col("bin") * width).alias("lo"), (lo + (F.col("bin") + 1) * width).alias("hi"), "n",
-        (F.col("n") / (ends.getField("n") * width)).alias("density"),
+        F.try_divide(F.col("n"), ends.getField("n") * width).alias("density"),
     )
 
 

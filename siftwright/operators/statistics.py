@@ -205,7 +205,7 @@ def normal_fit_bands(df: DataFrame, column: str, bound: float, bands: Sequence[t
         F.count_if(x == bound).alias("at_bound"), F.count_if(x < bound).alias("below_bound"),
         *[F.count_if((x > lo) & (x < hi) if lo == bound else (x >= lo) & (x < hi)).alias(f"in_{lo:g}_{hi:g}") for lo, hi in bands],
     )
-    return row.withColumn("expected_below", norm_cdf((F.lit(float(bound)) - F.col("mu")) / F.col("sd")) * F.col("n"))
+    return row.withColumn("expected_below", norm_cdf(F.try_divide(F.lit(float(bound)) - F.col("mu"), F.col("sd"))) * F.col("n"))
 
 
 def label_plausibility(df: DataFrame, label: str, count_metric: str) -> DataFrame:
@@ -213,6 +213,6 @@ def label_plausibility(df: DataFrame, label: str, count_metric: str) -> DataFram
     m = F.col(count_metric)
     return df.agg(
         row_count().alias("n"), F.sum(label).cast("bigint").alias("positives"), F.avg(label).alias("rate"),
-        F.avg(m).alias("mean_count"), (F.var_samp(m) / F.avg(m)).alias("dispersion"),
+        F.avg(m).alias("mean_count"), F.try_divide(F.var_samp(m), F.avg(m)).alias("dispersion"),
         (F.avg(F.when(F.col(label) == 1, m)) - F.avg(F.when(F.col(label) == 0, m))).alias("mean_gap"),
     )

@@ -129,8 +129,8 @@ def issue_register_rows(t: Tables) -> DataFrame:
         F.avg("l_tax").alias("mu"), F.stddev_samp("l_tax").alias("sd"), F.avg("l_quantity").alias("mean"),
         F.kurtosis("l_quantity").alias("kurt"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
     span2 = (c("hi") - c("lo") + 1) * (c("hi") - c("lo") + 1)
-    values = values.withColumn("expected_below", norm_cdf(-c("mu") / c("sd")) * c("n")).withColumn(
-        "flat_kurt", -1.2 * (span2 + 1) / (span2 - 1))
+    values = values.withColumn("expected_below", norm_cdf(F.try_divide(-c("mu"), c("sd"))) * c("n")).withColumn(
+        "flat_kurt", F.try_divide(-1.2 * (span2 + 1), span2 - 1))
     labelled = t("documents").select("doc_id", "n_chars").join(t("labels"), "doc_id").withColumn("log_chars", F.ln("n_chars"))
     tests = S.welch_tests(labelled, ["n_chars", "log_chars"], "toxic").agg(
         F.max(c("n0") + c("n1")).alias("n"), F.min("p").alias("p"), row_count().alias("k"))

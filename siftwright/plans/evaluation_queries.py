@@ -10,6 +10,7 @@ from ..functions.scalars import hash32
 from ..operators import evaluate as E
 from ..operators import models as L
 from ..operators import monitor as G
+from ..sources.scratch import materialize
 from ..sources.tables import Tables
 from .feature_queries import customer_panel
 from .registry import query, rounded
@@ -285,7 +286,9 @@ _ORDERS_SQL = ("(SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS t, sum(
 
 @query("psi_customer_panel", sql=f"SELECT metric, t, CAST(n AS BIGINT) AS n, in_reference, round(psi, 6) AS psi FROM {_psi_sql(_ORDERS_SQL, 't', ['spend', 'orders'], 't <= 1997')}")
 def psi_customer_panel(t: Tables) -> DataFrame:
-    return rounded(G.psi(customer_panel(t), "t", ["spend", "orders"], F.col("t") <= 1997))
+    # the panel is far smaller than the facts and is read for edges, reference and periods
+    panel = materialize(customer_panel(t), "customer-panel")
+    return rounded(G.psi(panel, "t", ["spend", "orders"], F.col("t") <= 1997))
 
 
 @query("psi_wide", sql=f"SELECT day, {', '.join(f'''round(max(psi) FILTER (WHERE metric = '{m}'), 6) AS psi_{m}''' for m in _EVENT_METRICS)} FROM {_EVENT_PSI} GROUP BY 1")
