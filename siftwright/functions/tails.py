@@ -7,11 +7,16 @@ functions are meant for the few rows an aggregate leaves, never for the fact row
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# executors need not have this package installed: the functions travel with the job
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))

@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_month_end, normalised, swap_month_day
+from ..sources.scratch import materialize
 from .ordering import null_safe_join, quantiles
 from .profile import row_count, value_counts
 
 
 # ------------------------------------------------------------------ duplicates
+def text_digest(c: Column | str) -> Column:
+    """32-byte SHA-256 of the whole text: a key that shuffles instead of the text it stands for."""
+    return F.unhex(F.sha2(F.col(c) if isinstance(c, str) else c, 256))
+
+
 def differs(c: str) -> Column:
     """Whether a column takes more than one value in a group, NULL counted as a value (aggregate).
 
@@ -147,17 +153,21 @@ def flag_before_start(fact: DataFrame, entity: DataFrame, *, fact_key: str, enti
 def before_start_summary(flagged: DataFrame, key: str, flag: str = "dq_before_start") -> DataFrame:
     """Rows and entities affected, and the median and largest lag in days.
 
-    Whole-day lags take few values, so the ordered counts behind the median stay small.
+    The flagged rows are reduced once to counts per entity and lag and stored, so the join beneath
+    runs a single time although entity counts and median read the result separately.
     """
-    per_entity = flagged.groupBy(key).agg(
-        row_count().alias("n"), F.count_if(flag).alias("bad"), F.max("days_before_start").alias("lag")
+    lag = F.when(F.col(flag), F.col("days_before_start")).alias("lag")
+    lags = flagged.groupBy(F.col(key).alias("entity"), F.col(flag).alias("bad"), lag).agg(row_count().alias("n"))
+    lags = materialize(lags, "lags")
+    per_entity = lags.groupBy("entity").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad"), F.max("lag").alias("lag")
     )
     row = per_entity.agg(
         F.sum("n").alias("n_rows"), F.sum("bad").alias("affected_rows"),
         F.count_if(F.col("bad") > 0).alias("affected_entities"), row_count().alias("entities"),
         F.max("lag").alias("max_days"),
     )
-    median = quantiles(flagged.where(flag), "days_before_start", {"m": 0.5}).scalar()
+    median = quantiles(lags, "lag", {"m": 0.5}, weight="n").scalar()
     return row.select("*", median.alias("median_days"), F.try_divide(F.col("affected_rows") * 100, F.col("n_rows")).alias("affected_pct"))
 
 

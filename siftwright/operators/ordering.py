@@ -71,11 +71,15 @@ def ordered_counts(
     value: str,
     by: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
+    *,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per distinct value with running totals in ascending order of the value.
 
     For ``n`` (rows) and every name in ``sums``: the value's own total, ``<name>_before`` (all
     smaller values of the group) and ``<name>_total`` (whole group). NULL values are left out.
+    ``weight`` names a column of row counts when ``df`` is already aggregated; then the cuts are
+    taken from the aggregate too, so that an expensive input runs once.
     """
     by = list(by)
     sums = dict(sums or {})
@@ -83,9 +87,9 @@ def ordered_counts(
     present = df.where(F.col(value).isNotNull())
     per_value = (
         present.groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    bucketed = _with_bucket(per_value, F.struct(*by, value), present)
+    bucketed = _with_bucket(per_value, F.struct(*by, value), per_value if weight else present)
     inside = (
         Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -108,6 +112,7 @@ def quantiles(
     by: Sequence[str] = (),
     *,
     approximate: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group, one column per name in ``probs``.
 
@@ -120,7 +125,7 @@ def quantiles(
             F.percentile_approx(value, [probs[k] for k in names], 10000).alias("q")
         )
         return sketch.select(*by, *[F.get("q", F.lit(i)).cast("double").alias(k) for i, k in enumerate(names)])
-    counts = ordered_counts(df, value, by)
+    counts = ordered_counts(df, value, by, weight=weight)
     x = F.col(value).cast("double")
     end = F.col("n_before") + F.col("n")
 

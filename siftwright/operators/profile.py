@@ -62,7 +62,16 @@ def table_shape(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], *, max_distinct: int | None = None) -> DataFrame:
-    """Row count of every value, NULL kept as its own value; optionally low-cardinality columns only."""
+    """Row count of every value, NULL kept as its own value; optionally low-cardinality columns only.
+
+    A column whose distinct-count sketch lies ten times above the limit is dropped before its
+    values are shuffled (the sketch errs by a few percent); the rest is decided exactly.
+    """
+    if max_distinct is not None:
+        sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+        columns = [c for c in columns if sketch[c] <= 10 * max_distinct + 100]
+        if not columns:
+            return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     counts = unpivot(df, columns, name="column", dtype="string").groupBy("column", "value").agg(row_count().alias("n"))
     if max_distinct is None:
         return counts

@@ -108,7 +108,7 @@ def issue_register_rows(t: Tables) -> DataFrame:
     def count_text(bad: str, n: str) -> Column:
         return F.format_string("%d of %d rows", c(bad), c(n))
 
-    texts = t("documents").groupBy("text").agg(row_count().alias("k")).agg(
+    texts = t("documents").groupBy(I.text_digest("text")).agg(row_count().alias("k")).agg(
         row_count().alias("keys"), some(c("k") > 1).alias("bad"), F.sum("k").alias("n"))
     lines = I.key_classes(t("lineitem"), LINE_KEY).agg(
         some(c("dup_class") == "conflict").alias("bad_keys"), F.sum("n_rows").alias("n"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as V
 from ..operators.detectors import impute_median, is_negative, null_out
+from ..sources.scratch import materialize
 from ..sources.tables import Tables
 from .registry import query, rounded
 
@@ -80,9 +81,9 @@ def panel_features_ends(t: Tables) -> DataFrame:
     return rounded(V.panel_features(customer_panel(t), "o_custkey", METRICS, families=[], extras=True), 6, **_DIGITS)
 
 
-def customer_engagement(t: Tables) -> DataFrame:
+def customer_engagement(panel: DataFrame) -> DataFrame:
     return V.engagement_features(
-        customer_panel(t), "o_custkey",
+        panel, "o_custkey",
         zero_periods={"n_unfilled_years": "n_filled"}, active_periods={"n_filled_years": "n_filled"},
         totals={"filled_total": "n_filled"},
         ratios={"filled_per_order": ("n_filled", "orders"), "spend_per_order": ("spend", "orders")},
@@ -97,7 +98,7 @@ _ENGAGE = f"""SELECT o_custkey, count(*) FILTER (WHERE fill = 0) AS n_unfilled_y
 
 @query("panel_features_engagement", sql=_ENGAGE)
 def panel_features_engagement(t: Tables) -> DataFrame:
-    return rounded(customer_engagement(t), 4)
+    return rounded(customer_engagement(customer_panel(t)), 4)
 
 
 def customer_entity(t: Tables) -> DataFrame:
@@ -137,8 +138,10 @@ def entity_features(t: Tables) -> DataFrame:
 
 
 def customer_features(t: Tables) -> DataFrame:
+    # stored once: both feature parts read it, and it is far smaller than the facts
+    panel = materialize(customer_panel(t), "customer-panel")
     return V.join_features(customer_entity(t), "o_custkey", [
-        V.panel_features(customer_panel(t), "o_custkey", METRICS), customer_engagement(t)])
+        V.panel_features(panel, "o_custkey", METRICS), customer_engagement(panel)])
 
 
 @query("feature_table", sql=f"""

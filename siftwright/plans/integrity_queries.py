@@ -30,7 +30,8 @@ SELECT CASE WHEN r = 1 THEN 'unique' WHEN v = 1 THEN 'exact' ELSE 'conflict' END
        count(*) AS n_keys, CAST(sum(r) AS BIGINT) AS n_rows, max(r) AS largest_group FROM g GROUP BY 1
 """)
 def dup_classes_texts(t: Tables) -> DataFrame:
-    return I.duplicate_summary(t("documents").select("text", "lang", "source", "n_chars"), ["text"])
+    keyed = t("documents").select(I.text_digest("text").alias("digest"), "lang", "source", "n_chars")
+    return I.duplicate_summary(keyed, ["digest"])
 
 
 @query("dup_row_flags", sql="""
