@@ -259,3 +259,16 @@ def seeded_sample(df: DataFrame, key: Column | str, n: int, seed: int) -> DataFr
     k = F.col(key) if isinstance(key, str) else key
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string")))
     return df.orderBy(h, k).limit(n)
+
+
+def evidence_list(df: DataFrame, column: str, condition: Column, limit: int = 20) -> DataFrame:
+    """The smallest flagged values as one line of text, with the count and range of all of them.
+
+    Only the listed values are ordered (a distributed top-n); the count and range cover every row.
+    """
+    x = F.col(column)
+    flagged = df.where(condition).select(x.alias("x"))
+    listed = flagged.orderBy("x").limit(limit).agg(F.array_sort(F.collect_list("x")).alias("v"))
+    text = F.array_join(F.transform("v", lambda v: F.format_string("%.2f", v)), ", ")
+    return flagged.agg(row_count().alias("n"), F.min("x").alias("lowest"), F.max("x").alias("highest")).withColumn(
+        "listed", listed.select(text.alias("t")).scalar())

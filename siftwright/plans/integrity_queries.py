@@ -238,3 +238,47 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE o_orderdate > (SELECT max(l_sh
 def future_dated(t: Tables) -> DataFrame:
     end = t("lineitem").agg(F.max("l_shipdate") - F.expr("interval 180 day")).scalar()
     return I.future_dated(t("orders"), "o_orderdate", end)
+
+
+@query("distinct_rows", sql="SELECT DISTINCT lang, source, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def distinct_rows(t: Tables) -> DataFrame:
+    joined = t("documents").join(t("labels"), "doc_id", "left")
+    return joined.select("lang", "source", "quality").dropDuplicates()
+
+
+@query("rows_of_conflicting_keys", sql="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM (SELECT DISTINCT * FROM lineitem) GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
+""")
+def rows_of_conflicting_keys(t: Tables) -> DataFrame:
+    conflict = I.key_classes(t("lineitem"), LINE_KEY).where("dup_class = 'conflict'").select(*LINE_KEY)
+    return t("lineitem").join(conflict, LINE_KEY, "left_semi").select(*LINE_KEY, "l_partkey", "l_quantity")
+
+
+@query("complete_rows", sql="""
+SELECT d.doc_id, n_chars, quality, CASE WHEN quality = 1 AND n_chars BETWEEN 200 AND 5000 THEN 'keep' ELSE 'review' END AS cohort
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL AND source IS NOT NULL
+""")
+def complete_rows(t: Tables) -> DataFrame:
+    joined = t("documents").join(t("labels"), "doc_id", "left").dropna(subset=["quality", "source"])
+    cohort = F.when((F.col("quality") == 1) & F.col("n_chars").between(200, 5000), "keep").otherwise("review")
+    return joined.select("doc_id", "n_chars", "quality", cohort.alias("cohort"))
+
+
+@query("entity_panel_label_join", sql="""
+SELECT r_name, count(*) AS n, round(avg(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END), 6) AS rate, round(avg(k), 6) AS mean_orders, round(avg(m), 6) AS mean_months
+FROM customer JOIN (SELECT o_custkey, count(*) AS k, count(DISTINCT date_trunc('month', o_orderdate)) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey
+JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1
+""")
+def entity_panel_label_join(t: Tables) -> DataFrame:
+    # one row per (customer, month) first: distinct months need no distinct sets
+    months = t("orders").groupBy("o_custkey", F.date_trunc("month", "o_orderdate").alias("m")).agg(P.row_count().alias("k"))
+    panel = months.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("k").alias("k"), P.row_count().alias("m"))
+    joined = (
+        t("customer").join(panel, "c_custkey")
+        .join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    )
+    return rounded(joined.groupBy("r_name").agg(
+        P.row_count().alias("n"), F.avg((F.col("c_acctbal") < 0).cast("int")).alias("rate"),
+        F.avg("k").alias("mean_orders"), F.avg("m").alias("mean_months")))

@@ -267,3 +267,12 @@ def unparseable_dates(t: Tables) -> DataFrame:
     written = F.when(F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
     return I.unparseable_dates(t("orders").select(written.alias("s")), "s")
+
+
+@query("evidence_list", sql="""
+SELECT count(*) AS n, min(c_acctbal) AS lowest, max(c_acctbal) AS highest,
+  (SELECT string_agg(printf('%.2f', v), ', ' ORDER BY v) FROM (SELECT c_acctbal AS v FROM customer WHERE c_acctbal < 0 ORDER BY 1 LIMIT 20)) AS listed
+FROM customer WHERE c_acctbal < 0
+""")
+def evidence_list(t: Tables) -> DataFrame:
+    return P.evidence_list(t("customer"), "c_acctbal", F.col("c_acctbal") < 0)
