@@ -118,6 +118,10 @@ def tokenize(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: i
     A document is its ids and ``end_id``; it is cut every ``capacity`` ids. Null and empty
     texts are ``end_id`` alone.
     """
+    ship(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    whole_numbers = kind in ("bigint", "int")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(vocabulary)
         row = TaskContext.get().partitionId() << 33
@@ -132,12 +136,10 @@ def tokenize(df: DataFrame, key: str, text: str, vocabulary: str, *, capacity: i
                         piece = ids[start : start + capacity]
                         out.append((k, row, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                 made = pd.DataFrame(out, columns=["k", "row", "start", "length", "ids_crc32", "doc_tokens"])
-                if df.schema[key].dataType.simpleString() in ("bigint", "int"):
+                if whole_numbers:
                     made["k"] = made["k"].astype("Int64")
                 yield made
 
-    ship(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, _PIECES.format(id="k", type=kind)).withColumnRenamed("k", key)
 
 
