@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import mixing, packing, quality, sharding, suffix_dedup, url_rules
+from . import mixing, packing, quality, sharding, suffix_dedup, toxicity, url_rules
 from .text import count_words, utf8_size, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,17 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs, "text").select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(key) -> "F.Column":
+    """Rows that no label is learned from."""
+    return F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(*toxicity.sample_labelled(
+        docs, table(spark, folder, "labels"), "doc_id", "text", "toxic", ~held_out(F.col("_key"))))
+    return toxicity.score_toxicity(docs, "text", model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
