@@ -80,7 +80,7 @@ def fit(texts: list[str | None], labels: list[int], *, min_docs: int = 3, penalt
     """Fit word weights (none below 0) and leak by adaptive gradient steps on the documents' log-likelihood.
 
     Features of fewer than ``min_docs`` documents are left out; ``penalty`` pulls each weight to
-    0, so a feature needs several toxic documents that nothing else explains. The bias is fixed low:
+    0, so a feature needs several toxic documents that nothing else explains. The bias ends low:
     a sentence without a weighted word adds nothing, however many there are. Without a toxic
     label the model knows no word.
     """
@@ -105,9 +105,11 @@ def fit(texts: list[str | None], labels: list[int], *, min_docs: int = 3, penalt
     at_sentence, at_word, doc_of = (np.asarray(x, np.int64) for x in (at_sentence, at_word, doc_of))
     n, s, k = len(y), len(doc_of), len(names)
     w, gw = np.zeros(k), np.full(k, 1e-8)
-    leak, gl = np.log(0.02 / 0.98), 1e-8
-    for _ in range(rounds):
-        z = bias + np.bincount(at_sentence, w[at_word], s)
+    leak, gl = float(np.log(0.02 / 0.98)), 1e-8
+    for step in range(rounds):
+        # a high bias at first lets sentences, not the leak, take the blame
+        now = bias + (-3.0 - bias) * max(0.0, 1 - 2 * step / rounds)
+        z = now + np.bincount(at_sentence, w[at_word], s)
         p = 1 / (1 + np.exp(-z))
         log_none = -np.bincount(doc_of, np.logaddexp(0.0, z), n) - np.logaddexp(0.0, leak)
         none = np.exp(log_none)
@@ -118,7 +120,8 @@ def fit(texts: list[str | None], labels: list[int], *, min_docs: int = 3, penalt
         gw += grad**2
         gl += slope**2
         w = np.maximum(0.0, w - (grad + penalty) / np.sqrt(gw))
-        leak = float(np.clip(leak - 0.5 * slope / np.sqrt(gl), -8.0, np.log(0.3 / 0.7)))
+        if step > rounds // 2:
+            leak = float(np.clip(leak - 0.5 * slope / np.sqrt(gl), -8.0, np.log(0.3 / 0.7)))
     keep = w > 0.05
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(keep)}, bias, float(1 / (1 + np.exp(-leak))))
 
