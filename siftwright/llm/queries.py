@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import mixing, packing, quality, sharding, suffix_dedup, toxicity, url_rules
+from . import jaccard_join, mixing, packing, quality, sharding, suffix_dedup, toxicity, url_rules
 from .text import count_words, utf8_size, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         docs, table(spark, folder, "labels"), "doc_id", "text", "toxic", ~held_out(F.col("_key"))))
     return toxicity.score_toxicity(docs, "text", model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
