@@ -10,6 +10,7 @@ the offending places.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -84,23 +85,24 @@ def fit(texts: list[str | None], labels: list[int], *, min_docs: int = 3, penalt
     a sentence without a weighted word adds nothing, however many there are. Without a toxic
     label the model knows no word.
     """
-    bags = [bag(t) for t in texts]
     y = np.asarray(labels, float)
     if not len(y) or not y.sum():
         return Model({}, bias, 1e-3)
-    seen = Counter(w for b in bags for w in set().union(*b))
-    positive = Counter(w for b, v in zip(bags, y) if v for w in set().union(*b))
+    # bags are made three times rather than held: only counts and places of likely features are kept
+    positive = Counter(f for t, v in zip(texts, labels) if v for f in set().union(*bag(t)))
+    positive = {f: n for f, n in positive.items() if n > 1}
+    seen = Counter(f for t in texts for f in set().union(*bag(t)) if f in positive)
     # what is not clearly more frequent in toxic documents than in all can hardly win
     lift = min(0.5, 2 * y.mean())
-    names = sorted(w for w, n in seen.items() if n >= min_docs and positive[w] > lift * n)
-    index = {w: i for i, w in enumerate(names)}
-    at_sentence, at_word, doc_of = [], [], []
-    for d, b in enumerate(bags):
-        for s in b:
-            found = [index[w] for w in s if w in index]
+    names = sorted(f for f, n in seen.items() if n >= min_docs and positive[f] > lift * n)
+    index = {f: i for i, f in enumerate(names)}
+    at_sentence, at_word, doc_of = array("q"), array("q"), array("q")
+    for d, t in enumerate(texts):
+        for s in bag(t):
+            found = [index[f] for f in s if f in index]
             if found:
-                at_sentence += [len(doc_of)] * len(found)
-                at_word += found
+                at_sentence.extend([len(doc_of)] * len(found))
+                at_word.extend(found)
                 doc_of.append(d)
     at_sentence, at_word, doc_of = (np.asarray(x, np.int64) for x in (at_sentence, at_word, doc_of))
     n, s, k = len(y), len(doc_of), len(names)
