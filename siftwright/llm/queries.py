@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import jaccard_join, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, url_rules
+from . import html_text, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, url_rules
 from .text import count_words, utf8_size, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), topk.grid_vector(F.col("embedding")).alias("v"))
     return topk.exact_top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages").select("page_id", "html"), "html").select(
+        "page_id", "text", F.length("text").cast("long").alias("n_chars"))
