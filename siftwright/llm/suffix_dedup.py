@@ -300,8 +300,9 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, par
     return spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int = CORE, part_pieces: int = PART_PIECES) -> DataFrame:
-    """``df`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (array of start, end).
+def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int = CORE, part_pieces: int = PART_PIECES,
+                   decode: bool = False) -> DataFrame:
+    """``df`` with ``kept`` (binary; with ``decode`` a string without the halves of characters at the cuts), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (array of start, end).
 
     Every byte is removed that lies in a string of ``width`` bytes that also starts anywhere
     else in the table, in the same text too; overlapping starts count. Null texts count as
@@ -315,7 +316,7 @@ def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int =
     spans = repeated_spans(rows.select(F.col("_t").alias("t"), F.col("_text").alias("text")), width=width, core=core, part_pieces=part_pieces)
     joined = rows.join(spans, F.col("_t") == F.col("t"), "left")
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>")
+    @F.pandas_udf(f"kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>")
     def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for text_, spans_ in zip(texts, found):
@@ -327,7 +328,7 @@ def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int =
                 at = b
             parts.append(data[at:])
             left = b"".join(parts)
-            out.append((left, len(data), len(data) - len(left), len(cuts), [{"start": a, "end": b} for a, b in cuts]))
-        return pd.DataFrame(out, columns=made[:1] + made[1:])
+            out.append((left.decode("utf-8", "ignore") if decode else left, len(data), len(data) - len(left), len(cuts), [{"start": a, "end": b} for a, b in cuts]))
+        return pd.DataFrame(out, columns=made)
 
     return joined.select(*rest, keep("_text", "spans").alias("_r")).select(*rest, *[F.col(f"_r.{c}").alias(c) for c in made])
