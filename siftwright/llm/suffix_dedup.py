@@ -250,18 +250,18 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, par
     repeated as a whole.
     """
     long = rows.where(F.octet_length("text") >= width)
-    twice_anchor = (
+    # small tables that are joined by anchor are stored first: a join right above an aggregation cannot be split on a hot anchor
+    twice_anchor = materialize(
         _pieces(long, width, core, digests=False)
-        .groupBy("anchor").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a <> b").select("anchor")
-    )
+        .groupBy("anchor").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a <> b").select("anchor"), "anchors")
     found = materialize(_pieces(long, width, core, digests=True).join(twice_anchor, "anchor", "left_semi"), "pieces")
     distinct = found.groupBy("anchor", "piece").agg(
         (F.min("spot") != F.max("spot")).alias("twice"), F.min(F.struct("t", "lo")).alias("rep"),
         F.min("windows").alias("windows"), F.min("lead").alias("lead"))
     distinct = materialize(distinct.select("anchor", "piece", "twice", "rep.t", "rep.lo", "windows", "lead"), "distinct-pieces")
     # a lone piece has nothing to be compared with; among pieces repeated as a whole nothing is open
-    mixed = (distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("twice").alias("settled"))
-             .where("n > 1 and not settled").select("anchor", "n"))
+    mixed = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("twice").alias("settled"))
+                        .where("n > 1 and not settled").select("anchor", "n"), "open-anchors")
     asked = (distinct.join(mixed, "anchor").groupBy("t")
              .agg(F.collect_list(F.struct("anchor", "piece", "twice", "lo", "windows", "lead", "n")).alias("asked")))
 
