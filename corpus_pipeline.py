@@ -38,12 +38,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each repetition of a document that the mix takes, the last one shortened where the source's target cuts it."""
+    """A row for each repetition of a document that the mix takes words of, the last one shortened where the source's target cuts it."""
     slim = materialize(docs.select("doc_id", "text", "lang", "source", "n_chars", count_words(F.col("text")).alias("size"),
                                    F.xxhash64("text").alias("text_hash")), "mix-input")
     mixed = mixing.mix(slim, size="size", source="source", key=["doc_id", "text_hash"], pattern=[5, 2, 1])
     times = F.col("whole").cast("int") + (F.col("part") > 0).cast("int")
-    copies = mixed.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    copies = mixed.where((times > 0) & (F.col("size") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     cut = (F.col("copy") > F.col("whole")) & (F.col("part") < F.col("size"))
     text = F.when(cut, F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col("text"))
     return copies.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
