@@ -12,10 +12,12 @@ Hot words, without losing a pair:
 * Words of at most one shingle are common to unrelated documents. A document that has at most e
   of them leaves them out: of the e + 1 common words one remains that neither side left out.
 * In the same way words that more than ``hot`` documents share are left out where those and the
-  former are at most e together. Documents with more are near copies of a large group.
-* A word's documents are first paired with one of them only, and of these pairs each document
-  verifies the one with most words in common. Pairs are made of all others only across the
-  components found so far; what is connected needs no further link.
+  former are at most e together. Documents with more belong to large groups of near copies.
+* Documents that such words still join form a cluster. A cluster is dealt into tiles of bounded
+  size; each pair of tiles is one task, which compares bit sketches, verifies what they leave
+  open and gives out links only between documents it has not connected yet: at most one link
+  for each document, not one for each pair.
+* Words of fewer documents give their pairs, bounded by ``hot`` for each document and word.
 * Documents of one shingle set are one class from the start.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +39,8 @@ from .ship import ship
 from .text import whole
 
 SHINGLE = 5
-HOT = 64
+HOT = 16
+TILE = 512
 _RATIO = 1.4
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _BATCH_BYTES = 1 << 20
@@ -198,7 +201,8 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by word, those whose word occurs with another set too, each with the first set of its word.
 
-    A word's rows may run over batches; only its first set is kept meanwhile.
+    A word's rows may run over batches; only its first set is kept meanwhile, so a set that
+    several tasks gave may come twice. Counts over these rows are then higher, which keeps more.
     """
     held = None  # the last row of the batch before: word, set, room
     first = None  # the first set of its word
@@ -232,17 +236,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first, given = (int(word[-1]), int(ids[-1]), int(room[-1])), int(pivot[-1]), bool(keep[-1])
 
 
-def _texts_of(rows: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text for each set id of ``ids``."""
-    picked = members.join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
-    return rows.join(picked, "row_key").select("set_id", "text")
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of the sets of each word; a word has at most ``hot`` of them."""
+    for batch in batches:
+        a, b = [], []
+        for ids in batch["sets"]:
+            x = np.sort(np.asarray(ids, np.int64))
+            i, j = np.triu_indices(len(x), 1)
+            a.append(x[i])
+            b.append(x[j])
+        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+
+@F.pandas_udf(T.BooleanType())
+def _may_be_similar(n_a: pd.Series, n_b: pd.Series, s_a: pd.Series, s_b: pd.Series) -> pd.Series:
+    return pd.Series([5 * p >= 4 * q and 5 * q >= 4 * p and 9 * hamming(x, y) <= p + q for p, q, x, y in zip(n_a, n_b, s_a, s_b)], dtype=bool)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         left, right = shingle_sets(batch["text_a"].tolist()), shingle_sets(batch["text_b"].tolist())
@@ -250,63 +265,63 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["a", "b"]]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar."""
-    pairs = materialize(pairs.select("a", "b"), name)
-    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    texts = materialize(_texts_of(rows, members, ids), f"{name}-texts")
-    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long"), f"{name}-links")
+def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links among the sets that connect all that links connect; two different sides: only links between them.
+
+    Bit sketches rule out pairs; the rest are verified from the nearest on, unless connected by then.
+    """
+    n = np.array([len(s) for s in sets])
+    sketches = [bit_sketch(s) for s in sets]
+    widths = [len(k) // 8 for k in sketches]
+    both = len(set(side.tolist())) > 1
+    near: list[tuple[int, int, int]] = []
+    folded = {w: np.stack([np.bitwise_xor.reduce(np.frombuffer(k, np.uint64).reshape(-1, w), axis=0) if v >= w else np.zeros(w, np.uint64)
+                           for k, v in zip(sketches, widths)]) for w in set(widths)}
+    widths = np.array(widths)
+    for i in range(len(ids) - 1):
+        fits = np.flatnonzero((5 * n[i] >= 4 * n[i + 1 :]) & (5 * n[i + 1 :] >= 4 * n[i]) & (~np.bool_(both) | (side[i + 1 :] != side[i]))) + i + 1
+        for w in set(np.minimum(widths[fits], widths[i]).tolist()):
+            js = fits[np.minimum(widths[fits], widths[i]) == w]
+            away = np.bitwise_count(folded[w][js] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
+            ok = 9 * away <= n[js] + n[i]
+            near += zip(away[ok].tolist(), [i] * int(ok.sum()), js[ok].tolist())
+    root = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    out = []
+    for _, i, j in sorted(near):
+        x, y = find(i), find(j)
+        if x != y and similar(sets[i], sets[j]):
+            root[y] = x
+            out.append((int(ids[i]), int(ids[j])))
+    return out
 
-@F.pandas_udf(T.BooleanType())
-def _may_be_similar(n_a: pd.Series, n_b: pd.Series, s_a: pd.Series, s_b: pd.Series) -> pd.Series:
-    return pd.Series([9 * hamming(x, y) <= p + q for p, q, x, y in zip(n_a, n_b, s_a, s_b)], dtype=bool)
 
+def _tile_links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    group = group.drop_duplicates("set_id")
+    links = spanning_links(group["set_id"].to_numpy(), shingle_sets(group["text"].tolist()), group["tile"].to_numpy())
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-def _cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one word's documents that lie in different components and are of similar size."""
-    for batch in batches:
-        for xs, ys in zip(batch["left"], batch["right"]):
-            x = np.array([(r["set_id"], r["root"], r["n"]) for r in xs], np.int64)
-            y = x if ys is None else np.array([(r["set_id"], r["root"], r["n"]) for r in ys], np.int64)
-            i, j = np.nonzero((x[:, None, 1] != y[None, :, 1]) & (5 * x[:, None, 2] >= 4 * y[None, :, 2]) & (5 * y[None, :, 2] >= 4 * x[:, None, 2]))
-            a, b = np.minimum(x[i, 0], y[j, 0]), np.maximum(x[i, 0], y[j, 0])
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-
-def _across(shared: DataFrame, sizes: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """Candidate pairs between components, of all words that hold more than one."""
-    placed = (
-        shared.select("word", "set_id", "room").distinct()
-        .join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        .join(sizes.select("set_id", "n"), "set_id")
-    )
-    mixed = (placed.groupBy("word").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held"))
-             .where("x <> y").select("word", "held"))
-    # the limit is a property of the word over all its documents
-    placed = materialize(placed.join(mixed, "word"), "mixed-words")
-    per_set = placed.where(F.col("held") > hot).groupBy("set_id", "room").agg(F.count(F.lit(1)).alias("hot_words"))
-    kept = (placed.join(per_set, ["set_id", "room"], "left")
-            .where((F.col("held") <= hot) | (F.col("room") < F.coalesce("hot_words", F.lit(0)))))
-    # words of more than ``hot`` documents in tiles of that many, documents of one component side by side
-    place = F.row_number().over(Window.partitionBy("word").orderBy("root", "set_id")) - 1
-    big = F.col("held") > hot
-    tiled = kept.where(~big).withColumn("tile", F.lit(0)).unionByName(
-        kept.where(big).withColumn("tile", F.floor(place / hot).cast("int")))
-    tile = materialize(tiled.groupBy("word", "tile").agg(
-        F.collect_list(F.struct("set_id", "root", "n")).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")), "tiles")
-    none = F.lit(None).cast(tile.schema["rows"].dataType)
-    own = tile.where("lo <> hi").select(F.col("rows").alias("left"), none.alias("right"))
-    x, y = (tile.select("word", F.col("tile").alias(f"{k}_tile"), F.col("lo").alias(f"{k}_lo"), F.col("hi").alias(f"{k}_hi")) for k in "xy")
-    meet = (x.join(y, "word").where("x_tile < y_tile and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)")
-            .select("word", "x_tile", "y_tile"))
-    other = (
-        meet.join(tile.select("word", F.col("tile").alias("x_tile"), F.col("rows").alias("left")), ["word", "x_tile"])
-        .join(tile.select("word", F.col("tile").alias("y_tile"), F.col("rows").alias("right")), ["word", "y_tile"]).select("left", "right")
-    )
-    return own.unionByName(other).mapInPandas(_cross, "a long, b long").distinct()
+
+def _clusters(shared: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``set_id``, ``cluster`` and its number of tiles for sets that hot words join; and (word, set_id) of the others."""
+    held = materialize(shared.groupBy("word").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot).select("word"), "hot-words")
+    hot_rows = materialize(shared.join(held, "word", "left_semi").select("word", "set_id", "pivot", "room"), "hot-rows")
+    # a set's two bands may have the same room; their hot words then count together, which only keeps more
+    kept = hot_rows.join(hot_rows.groupBy("set_id", "room").agg(F.count(F.lit(1)).alias("hot_words")), ["set_id", "room"]).where("room < hot_words")
+    # the pivot may itself have left the word out, which only joins clusters more
+    edges = kept.where("set_id <> pivot").select("set_id", "pivot").distinct()
+    roots = components(edges, "set_id", "pivot")
+    nodes = roots.select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    nodes = materialize(nodes.unionByName(nodes.select(F.col("cluster").alias("set_id"), "cluster").distinct()), "clusters")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    cold = shared.join(held, "word", "left_anti").select("word", "set_id")
+    return nodes.join(materialize(sizes, "cluster-sizes"), "cluster"), cold
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> DataFrame:
@@ -317,34 +332,42 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> Da
     word have no shingle and no link. Sets are compared by 64-bit shingle hashes and known by
     64-bit digests. Rows alike in all columns stay apart and get one component. A row whose
     key is null takes part; its component is null only if no member has a key. Other columns
-    are not read.
+    are not read. ``hot`` bounds work for each word, not results.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     kind = df.schema[key].dataType.simpleString()
     members = materialize(rows.mapInPandas(_members, f"doc_id {kind}, row_key long, n long, set_id long, sketch binary"), "members")
-    with_set = members.where("set_id is not null")
-    sizes = with_set.groupBy("set_id").agg(F.min("n").alias("n"))
+    classes = members.where("set_id is not null").groupBy("set_id").agg(
+        F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("row_key").alias("row_key"))
     words = rows.select("text").mapInPandas(_words, "word long, set_id long, room int")
     shared = materialize(
         words.repartition(F.col("word")).sortWithinPartitions("word").mapInArrow(_shared, "word long, set_id long, pivot long, room int"),
-        "shared-words").where("set_id is not null")
-    # each set with the pivot it shares most words with
-    counted = shared.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("common"))
-    best = counted.groupBy("set_id").agg(F.max(F.struct("common", "pivot")).alias("best"))
-    first = best.select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
-    links = _verified(first, rows, with_set, "first-pairs")
+        "shared-words")
+    clusters, cold = _clusters(shared, hot)
+    clusters = materialize(clusters, "tiled")
+    pairs = cold.groupBy("word").agg(F.collect_set("set_id").alias("sets")).select("sets").mapInPandas(_pairs, "a long, b long").distinct()
+    pairs = materialize(
+        pairs.join(classes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
+        .join(classes.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
+        .where(_may_be_similar("n_a", "n_b", "s_a", "s_b")).select("a", "b"), "pairs")
+    asked = clusters.select("set_id").unionByName(pairs.select(F.col("a").alias("set_id"))).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    picked = classes.join(asked, "set_id", "left_semi").select("set_id", "row_key")
+    texts = materialize(rows.join(picked, "row_key").select("set_id", "text"), "texts")
+    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
+    plain = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(_verify, "a long, b long")
+    tiled = (
+        clusters.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("set_id", "cluster", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
+        .join(texts, "set_id")
+        .groupBy("cluster", "x", "y").applyInPandas(_tile_links, "a long, b long")
+    )
+    links = materialize(plain.unionByName(tiled), "links")
     roots = materialize(components(links).select(F.col("node").alias("set_id"), "root"), "roots")
-    across = materialize(_across(shared, sizes, roots, hot), "cross-pairs")
-    sketches = with_set.groupBy("set_id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    a = sketches.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = sketches.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    close = across.join(a, "a").join(b, "b").where(_may_be_similar("n_a", "n_b", "s_a", "s_b")).select("a", "b")
-    more = _verified(close, rows, with_set, "second-pairs")
-    chain = links.unionByName(more)
-    roots = materialize(components(chain).select(F.col("node").alias("set_id"), "root"), "roots")
     placed = members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return placed.join(least, "root", "left").select(
         F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -49,7 +49,7 @@ def test_documents(spark, folder):
     assert result(df) == brute([tuple(r) for r in df.collect()])
 
 
-@pytest.mark.parametrize("hot", [2, 64])
+@pytest.mark.parametrize("hot", [2, 16])
 def test_clusters_borderline_pairs_and_hot_words(spark, hot):
     rnd = random.Random(hot)
     passage = [f"p{i}" for i in range(30)]
