@@ -13,10 +13,12 @@ Hot words, without losing a pair:
   of them leaves them out: of the e + 1 common words one remains that neither side left out.
 * In the same way words that more than ``hot`` documents share are left out where those and the
   former are at most e together. Documents with more belong to large groups of near copies.
-* Documents that such words still join form a cluster. A cluster is dealt into tiles of bounded
-  size; each pair of tiles is one task, which compares bit sketches, verifies what they leave
-  open and gives out links only between documents it has not connected yet: at most one link
-  for each document, not one for each pair.
+* Documents that such words still join are compared by bit sketches, in tiles of bounded size:
+  first with one document of the word, then with those of other components so far. Only the
+  pairs that grow a component are given out, so a group of m documents gives m - 1 of them and
+  unrelated documents none. The components of sketch-similar documents are the clusters: a link
+  over a hot word lies inside one. A cluster is verified in tiles as well, and again only links
+  between documents not connected yet are given out.
 * Words of fewer documents give their pairs, bounded by ``hot`` for each document and word.
 * Documents of one shingle set are one class from the start.
 """
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,12 +246,14 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All pairs of the sets of each word; a word has at most ``hot`` of them."""
     for batch in batches:
-        a, b = [], []
-        for ids in batch["sets"]:
-            x = np.sort(np.asarray(ids, np.int64))
-            i, j = np.triu_indices(len(x), 1)
-            a.append(x[i])
-            b.append(x[j])
+        sets, a, b = batch["sets"].to_numpy(), [], []
+        sizes = np.array([len(s) for s in sets])
+        # words of equally many sets at once
+        for size in np.unique(sizes).tolist():
+            x = np.sort(np.stack(sets[sizes == size].tolist()).astype(np.int64), axis=1)
+            i, j = np.triu_indices(size, 1)
+            a.append(x[:, i].ravel())
+            b.append(x[:, j].ravel())
         yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
 
@@ -265,26 +269,58 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[ok, ["a", "b"]]
 
 
+class Sketches:
+    """Sizes and bit sketches of some sets, ready for one-against-many comparison."""
+
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes]):
+        self.n = sizes
+        words = [np.frombuffer(k, np.uint64) for k in sketches]
+        self.width = np.array([len(w) for w in words])
+        # halves fold by XOR to every narrower width that occurs
+        self.folded = {w: np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) if len(x) >= w else np.zeros(w, np.uint64) for x in words])
+                       for w in np.unique(self.width).tolist()}
+
+    def near(self, i: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``among`` that may be similar to set ``i`` by size and sketch, and their distances."""
+        among = among[(5 * self.n[i] >= 4 * self.n[among]) & (5 * self.n[among] >= 4 * self.n[i])]
+        common = np.minimum(self.width[among], self.width[i])
+        js, away = [], []
+        for w in np.unique(common).tolist():
+            j = among[common == w]
+            d = np.bitwise_count(self.folded[w][j] ^ self.folded[w][i]).sum(axis=1, dtype=np.int64)
+            ok = 9 * d <= self.n[j] + self.n[i]
+            js.append(j[ok])
+            away.append(d[ok])
+        return (np.concatenate(js), np.concatenate(away)) if js else (among, among)
+
+
+def near_edges(ids: np.ndarray, label: np.ndarray, sketches: Sketches, side: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sketch-similar sets that join all labels such pairs join; two different sides: only pairs between them."""
+    label = label.copy()
+    apart = len(np.unique(side)) > 1
+    out = []
+    for i in range(len(ids) - 1):
+        rest = np.arange(i + 1, len(ids))
+        rest = rest[label[rest] != label[i]]
+        js, _ = sketches.near(i, rest[side[rest] != side[i]] if apart else rest)
+        for j in js[np.unique(label[js], return_index=True)[1]].tolist():
+            out.append((int(ids[i]), int(ids[j])))
+            label[label == label[j]] = label[i]
+    return out
+
+
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
     """Links among the sets that connect all that links connect; two different sides: only links between them.
 
-    Bit sketches rule out pairs; the rest are verified from the nearest on, unless connected by then.
+    Sketches rule out pairs; the rest are verified from the nearest on, unless connected by then.
     """
-    n = np.array([len(s) for s in sets])
-    sketches = [bit_sketch(s) for s in sets]
-    widths = [len(k) // 8 for k in sketches]
-    both = len(set(side.tolist())) > 1
+    sketches = Sketches(np.array([len(s) for s in sets]), [bit_sketch(s) for s in sets])
+    apart = len(np.unique(side)) > 1
     near: list[tuple[int, int, int]] = []
-    folded = {w: np.stack([np.bitwise_xor.reduce(np.frombuffer(k, np.uint64).reshape(-1, w), axis=0) if v >= w else np.zeros(w, np.uint64)
-                           for k, v in zip(sketches, widths)]) for w in set(widths)}
-    widths = np.array(widths)
     for i in range(len(ids) - 1):
-        fits = np.flatnonzero((5 * n[i] >= 4 * n[i + 1 :]) & (5 * n[i + 1 :] >= 4 * n[i]) & (~np.bool_(both) | (side[i + 1 :] != side[i]))) + i + 1
-        for w in set(np.minimum(widths[fits], widths[i]).tolist()):
-            js = fits[np.minimum(widths[fits], widths[i]) == w]
-            away = np.bitwise_count(folded[w][js] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
-            ok = 9 * away <= n[js] + n[i]
-            near += zip(away[ok].tolist(), [i] * int(ok.sum()), js[ok].tolist())
+        rest = np.arange(i + 1, len(ids))
+        js, away = sketches.near(i, rest[side[rest] != side[i]] if apart else rest)
+        near += zip(away.tolist(), [i] * len(js), js.tolist())
     root = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -302,26 +338,72 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) ->
     return out
 
 
+def _near_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges of the tiles and pairs of tiles in the rows."""
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for ids, label, n, sketches, split in zip(*[batch[c] for c in ("ids", "roots", "sizes", "sketches", "split")]):
+            side = np.arange(len(ids)) >= split
+            out += near_edges(np.asarray(ids, np.int64), np.asarray(label, np.int64), Sketches(np.asarray(n, np.int64), list(sketches)), side)
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
 def _tile_links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     group = group.drop_duplicates("set_id")
     links = spanning_links(group["set_id"].to_numpy(), shingle_sets(group["text"].tolist()), group["tile"].to_numpy())
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def _clusters(shared: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """``set_id``, ``cluster`` and its number of tiles for sets that hot words join; and (word, set_id) of the others."""
-    held = materialize(shared.groupBy("word").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot).select("word"), "hot-words")
-    hot_rows = materialize(shared.join(held, "word", "left_semi").select("word", "set_id", "pivot", "room"), "hot-rows")
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by size and sketch."""
+    return (
+        pairs.join(classes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
+        .join(classes.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
+        .where(_may_be_similar("n_a", "n_b", "s_a", "s_b")).select("a", "b")
+    )
+
+
+def _hot_edges(hot_rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components hold every pair of sketch-similar documents that share a hot word."""
     # a set's two bands may have the same room; their hot words then count together, which only keeps more
-    kept = hot_rows.join(hot_rows.groupBy("set_id", "room").agg(F.count(F.lit(1)).alias("hot_words")), ["set_id", "room"]).where("room < hot_words")
-    # the pivot may itself have left the word out, which only joins clusters more
-    edges = kept.where("set_id <> pivot").select("set_id", "pivot").distinct()
-    roots = components(edges, "set_id", "pivot")
+    kept = materialize(hot_rows.join(
+        hot_rows.groupBy("set_id", "room").agg(F.count(F.lit(1)).alias("hot_words")), ["set_id", "room"]).where("room < hot_words"), "kept-words")
+    stars = kept.where("set_id <> pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = materialize(_sketched(stars, classes), "stars")
+    roots = components(stars).select(F.col("node").alias("set_id"), "root")
+    placed = kept.select("word", "set_id").distinct().join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    open_words = materialize(placed.groupBy("word").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y").select("word", "held"), "open-words")
+    # words of many documents in tiles, documents of one component side by side
+    placed = placed.join(open_words, "word").join(classes.select("set_id", "n", "sketch"), "set_id")
+    big = F.col("held") > TILE
+    place = F.row_number().over(Window.partitionBy("word").orderBy("root", "set_id")) - 1
+    tiled = placed.where(~big).withColumn("tile", F.lit(0)).unionByName(placed.where(big).withColumn("tile", F.floor(place / TILE).cast("int")))
+    tiles = materialize(tiled.groupBy("word", "tile").agg(
+        F.collect_list(F.struct("set_id", "root", "n", "sketch")).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")), "tiles")
+
+    def parts(rows: F.Column, split: F.Column) -> list[F.Column]:
+        named = {"ids": "set_id", "roots": "root", "sizes": "n", "sketches": "sketch"}
+        return [*[rows.getField(c).alias(k) for k, c in named.items()], split.cast("int").alias("split")]
+
+    own = tiles.where("lo <> hi").select(*parts(F.col("rows"), F.lit(0)))
+    x, y = (tiles.select("word", F.col("tile").alias(f"{k}_tile"), F.col("lo").alias(f"{k}_lo"), F.col("hi").alias(f"{k}_hi")) for k in "xy")
+    meet = (x.join(y, "word").where("x_tile < y_tile and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)").select("word", "x_tile", "y_tile"))
+    across = (
+        meet.join(tiles.select("word", F.col("tile").alias("x_tile"), F.col("rows").alias("left")), ["word", "x_tile"])
+        .join(tiles.select("word", F.col("tile").alias("y_tile"), F.col("rows").alias("right")), ["word", "y_tile"])
+        .select(*parts(F.concat("left", "right"), F.size("left")))
+    )
+    return materialize(stars.unionByName(own.unionByName(across).mapInPandas(_near_edges, "a long, b long")), "hot-edges")
+
+
+def _clusters(hot_rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``set_id``, ``cluster`` and the cluster's number of tiles."""
+    roots = components(_hot_edges(hot_rows, classes))
     nodes = roots.select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
     nodes = materialize(nodes.unionByName(nodes.select(F.col("cluster").alias("set_id"), "cluster").distinct()), "clusters")
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    cold = shared.join(held, "word", "left_anti").select("word", "set_id")
-    return nodes.join(materialize(sizes, "cluster-sizes"), "cluster"), cold
+    sizes = materialize(nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "cluster-sizes")
+    return materialize(nodes.join(sizes, "cluster"), "tiled")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> DataFrame:
@@ -338,19 +420,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> Da
     rows = df.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     kind = df.schema[key].dataType.simpleString()
     members = materialize(rows.mapInPandas(_members, f"doc_id {kind}, row_key long, n long, set_id long, sketch binary"), "members")
-    classes = members.where("set_id is not null").groupBy("set_id").agg(
-        F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("row_key").alias("row_key"))
+    classes = materialize(members.where("set_id is not null").groupBy("set_id").agg(
+        F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("row_key").alias("row_key")), "classes")
     words = rows.select("text").mapInPandas(_words, "word long, set_id long, room int")
     shared = materialize(
         words.repartition(F.col("word")).sortWithinPartitions("word").mapInArrow(_shared, "word long, set_id long, pivot long, room int"),
         "shared-words")
-    clusters, cold = _clusters(shared, hot)
-    clusters = materialize(clusters, "tiled")
-    pairs = cold.groupBy("word").agg(F.collect_set("set_id").alias("sets")).select("sets").mapInPandas(_pairs, "a long, b long").distinct()
-    pairs = materialize(
-        pairs.join(classes.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
-        .join(classes.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
-        .where(_may_be_similar("n_a", "n_b", "s_a", "s_b")).select("a", "b"), "pairs")
+    held = materialize(shared.groupBy("word").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > hot).select("word"), "hot-words")
+    clusters = _clusters(materialize(shared.join(held, "word", "left_semi").select("word", "set_id", "pivot", "room"), "hot-rows"), classes)
+    cold = shared.join(held, "word", "left_anti").groupBy("word").agg(F.collect_set("set_id").alias("sets"))
+    pairs = materialize(_sketched(cold.select("sets").mapInPandas(_pairs, "a long, b long").distinct(), classes), "pairs")
     asked = clusters.select("set_id").unionByName(pairs.select(F.col("a").alias("set_id"))).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     picked = classes.join(asked, "set_id", "left_semi").select("set_id", "row_key")
     texts = materialize(rows.join(picked, "row_key").select("set_id", "text"), "texts")
