@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates; rows without an id stay."""
-    groups = materialize(jaccard_join.near_duplicates(docs, "doc_id", "text"), "groups")
+    groups = jaccard_join.near_duplicates(docs, "doc_id", "text")
     kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     # rows that share the group's smallest id
     again = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")

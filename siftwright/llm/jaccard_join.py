@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, settle
 from .components import components
 from .ship import ship
 from .text import whole
@@ -414,9 +414,13 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> Da
     word have no shingle and no link. Sets are compared by 64-bit shingle hashes and known by
     64-bit digests. Rows alike in all columns stay apart and get one component. A row whose
     key is null takes part; its component is null only if no member has a key. Other columns
-    are not read. ``hot`` bounds work for each word, not results.
+    are not read. ``hot`` bounds work for each word, not results. The result is a stored table.
     """
     ship(df.sparkSession)
+    return settle(lambda: _near_duplicates(df, key, text, hot), "near-duplicates")
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str, hot: int) -> DataFrame:
     rows = df.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     kind = df.schema[key].dataType.simpleString()
     members = materialize(rows.mapInPandas(_members, f"doc_id {kind}, row_key long, n long, set_id long, sketch binary"), "members")

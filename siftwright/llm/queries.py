@@ -115,8 +115,8 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def held_out(key) -> "F.Column":
-    """Rows that no label is learned from."""
-    return F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1
+    """Rows that no label is learned from; a row without an id is none."""
+    return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 @query("op5_toxicity")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, settle
 from .ship import ship
 from .text import whole
 
@@ -313,7 +313,8 @@ def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int =
     made = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
     rest = [c for c in df.columns if c not in made]
     rows = df.select(*rest, whole(F.col(text)).alias("_text")).withColumn("_t", text_key(F.col("_text")))
-    spans = repeated_spans(rows.select(F.col("_t").alias("t"), F.col("_text").alias("text")), width=width, core=core, part_pieces=part_pieces)
+    texts = rows.select(F.col("_t").alias("t"), F.col("_text").alias("text"))
+    spans = settle(lambda: repeated_spans(texts, width=width, core=core, part_pieces=part_pieces), "spans")
     joined = rows.join(spans, F.col("_t") == F.col("t"), "left")
 
     @F.pandas_udf(f"kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>")
