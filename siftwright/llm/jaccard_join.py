@@ -45,7 +45,8 @@ HOT = 16
 TILE = 512
 _RATIO = 1.4
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_BATCH_BYTES = 1 << 20
+_BATCH_BYTES = 1 << 18
+_BATCH_TEXTS = 500
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -172,12 +173,14 @@ def hamming(a: bytes, b: bytes) -> int:
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = shingle_sets(batch["text"].tolist())
-        yield pd.DataFrame({
-            "doc_id": batch["doc_id"], "row_key": batch["row_key"], "n": [len(s) for s in sets],
-            "set_id": pd.array([_set_id(s) if len(s) else None for s in sets], "Int64"),
-            "sketch": [bit_sketch(s) if len(s) else None for s in sets],
-        })
+        for at in range(0, len(batch), _BATCH_TEXTS):
+            part = batch.iloc[at : at + _BATCH_TEXTS]
+            sets = shingle_sets(part["text"].tolist())
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].array, "row_key": part["row_key"].array, "n": [len(s) for s in sets],
+                "set_id": pd.array([_set_id(s) if len(s) else None for s in sets], "Int64"),
+                "sketch": [bit_sketch(s) if len(s) else None for s in sets],
+            })
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,9 +188,9 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: set[int] = set()
     for batch in batches:
         texts = batch["text"].tolist()
-        for at in range(0, len(texts), 2000):
+        for at in range(0, len(texts), _BATCH_TEXTS):
             keys, ids, rooms = [], [], []
-            for s in shingle_sets(texts[at : at + 2000]):
+            for s in shingle_sets(texts[at : at + _BATCH_TEXTS]):
                 if not len(s) or (i := _set_id(s)) in seen:
                     continue
                 seen.add(i)
@@ -264,9 +267,10 @@ def _may_be_similar(n_a: pd.Series, n_b: pd.Series, s_a: pd.Series, s_b: pd.Seri
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        left, right = shingle_sets(batch["text_a"].tolist()), shingle_sets(batch["text_b"].tolist())
-        ok = [len(x) > 0 and similar(x, y) for x, y in zip(left, right)]
-        yield batch.loc[ok, ["a", "b"]]
+        for at in range(0, len(batch), _BATCH_TEXTS):
+            part = batch.iloc[at : at + _BATCH_TEXTS]
+            left, right = shingle_sets(part["text_a"].tolist()), shingle_sets(part["text_b"].tolist())
+            yield part.loc[[len(x) > 0 and similar(x, y) for x, y in zip(left, right)], ["a", "b"]]
 
 
 class Sketches:
@@ -316,11 +320,13 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) ->
     """
     sketches = Sketches(np.array([len(s) for s in sets]), [bit_sketch(s) for s in sets])
     apart = len(np.unique(side)) > 1
-    near: list[tuple[int, int, int]] = []
+    near: list[np.ndarray] = [np.empty((3, 0), np.int32)]
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
         js, away = sketches.near(i, rest[side[rest] != side[i]] if apart else rest)
-        near += zip(away.tolist(), [i] * len(js), js.tolist())
+        near.append(np.stack((away, np.full(len(js), i), js)).astype(np.int32))
+    away, left, right = np.concatenate(near, axis=1)
+    order = np.argsort(away, kind="stable")
     root = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -330,7 +336,7 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray) ->
         return x
 
     out = []
-    for _, i, j in sorted(near):
+    for i, j in zip(left[order].tolist(), right[order].tolist()):
         x, y = find(i), find(j)
         if x != y and similar(sets[i], sets[j]):
             root[y] = x
