@@ -44,6 +44,13 @@ def score_metrics(scored: DataFrame, score: str, label: str, by: Sequence[str] =
     ).withColumn("brier_no_skill", F.col("base_rate") * (1 - F.col("base_rate")))
 
 
+def brier_score(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Brier score and that of the base rate, per group: averages, for which nothing is ordered."""
+    s, y = F.col(score).cast("double"), F.col(label).cast("double")
+    return scored.where(s.isNotNull() & y.isNotNull()).groupBy(*by).agg(
+        F.avg((s - y) * (s - y)).alias("brier"), (F.avg(y) * (1 - F.avg(y))).alias("brier_no_skill"))
+
+
 def metrics_by_fold(scored: DataFrame, score: str, label: str, fold: str) -> DataFrame:
     """AUC per fold, their mean and sd, beside the AUC of all rows pooled - two different numbers."""
     per = score_metrics(scored, score, label, [fold])
@@ -67,6 +74,10 @@ def null_band(null_scores: DataFrame, best: Column | float, value: str = "roc_au
 
 
 # ------------------------------------------------------------------ cost of decisions
+# Loss-to-offer ratios of the sensitivity table.
+LOSS_RATIOS = (1, 2, 3, 5, 10, 20)
+
+
 def cost_curve(scored: DataFrame, score: str, label: str, thresholds: Sequence[float], *, offer: float = 1.0, loss: float = 5.0, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts and cost at every threshold (offer made at score >= threshold).
 
@@ -135,7 +146,7 @@ def _policy_row(scored: DataFrame, score: str, label: str, taus: Mapping[str, fl
     )
 
 
-def cost_sensitivity(scored: DataFrame, score: str, label: str, ratios: Sequence[float] = (1, 2, 3, 5, 10, 20)) -> DataFrame:
+def cost_sensitivity(scored: DataFrame, score: str, label: str, ratios: Sequence[float] = LOSS_RATIOS) -> DataFrame:
     """Cost of three policies at several loss-to-offer ratios and the cheapest by cost.
 
     The model's loss is the ratio itself, as for the other policies.

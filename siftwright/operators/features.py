@@ -23,6 +23,8 @@ def build_panel(facts: DataFrame, entity: str, period: Column, metrics: Mapping[
     return facts.groupBy(entity, period.alias("t")).agg(*[a.alias(m) for m, a in metrics.items()])
 
 
+# The ends of feature names (_mean, _sd, _cv, _slope, _rel_slope, _halfratio, _last_minus_first,
+# _trend_r2, _declining, _first3, _last3, _last1) are what readers of the feature table expect.
 def _mean_of(items: Column, field: str) -> Column:
     total = F.aggregate(items, F.lit(0.0), lambda acc, s: acc + s.getField(field))
     return F.when(F.size(items) > 0, total / F.size(items))
@@ -150,19 +152,11 @@ def fill_with_indicator(df: DataFrame, columns: Sequence[str], with_gaps: Sequen
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """0/1 columns for every value but the alphabetically first."""
+    """0/1 columns for every listed value but the alphabetically first; other values and NULL are 0 in all."""
     rest = sorted(values)[1:]
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in rest})
 
 
-def category_values(df: DataFrame, column: str, limit: int = 200) -> list[str]:
-    """Distinct values of a category; refuses a column that is no category."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values and cannot be one-hot encoded")
-    return sorted(found)
-
-
 def feature_catalogue(table: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """Family of every feature beside its gaps and mean in the table; unknown names are refused."""
     names = [f for fs in families.values() for f in fs]

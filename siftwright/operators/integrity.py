@@ -30,14 +30,26 @@ def differs(c: str) -> Column:
     return F.coalesce(F.min(c) != F.max(c), F.lit(False)) | gap
 
 
-def _conflict(columns: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [differs(c) for c in columns], F.lit(False))
+def _conflict(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Whether the rows of a group differ in any of the columns (aggregate over two 64-bit row hashes).
+
+    Hashes are numbers, so minimum and maximum are kept in a hash table and no row is sorted.
+    Two different rows go unnoticed with a chance of 2 ** -128. NULLs count through a mask.
+    """
+    if not columns:
+        return F.lit(False)
+    kinds = dict(df.dtypes)
+    # 0.0 and -0.0 are one value
+    values = [F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("double", "float") else F.col(c) for c in columns]
+    mask = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns])
+    hashes = [F.xxhash64(F.lit(seed), mask, *values) for seed in (1, 2)]
+    return reduce(lambda a, b: a | b, [F.min(h) != F.max(h) for h in hashes])
 
 
 def key_classes(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per key: its rows and the class unique / exact / conflict (two NULLs are equal)."""
     rest = [c for c in df.columns if c not in key]
-    per_key = df.groupBy(*key).agg(row_count().alias("n_rows"), _conflict(rest).alias("__conflict"))
+    per_key = df.groupBy(*key).agg(row_count().alias("n_rows"), _conflict(df, rest).alias("__conflict"))
     return per_key.select(*key, "n_rows", (
         F.when(F.col("n_rows") == 1, "unique").when(F.col("__conflict"), "conflict").otherwise("exact")
     ).alias("dup_class"))
@@ -67,15 +79,16 @@ def classify_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
 def keep_first(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
     """One row per key, the first in ``order_by``, with ``dq_dup_conflict`` and the group's size.
 
-    The survivor is a minimum over a struct, which combines before the shuffle; no group is sorted.
-    Without a declared order the remaining columns, left to right with NULL first, decide.
+    The survivor is a minimum over a struct, which combines before the shuffle (Spark sorts a
+    task's rows by key for it). Give a digest and a short row key where rows hold long texts, and
+    fetch the survivors by that key. Without a declared order the remaining columns, left to right with NULL first, decide.
     """
     key = list(key)
     rest = [c for c in df.columns if c not in key]
     lead = list(order_by or [])
     order = lead + [c for c in rest if c not in lead]
     agg = df.groupBy(*key).agg(
-        F.min(F.struct(*order)).alias("first"), row_count().alias("dup_rows"), _conflict(rest).alias("dq_dup_conflict")
+        F.min(F.struct(*order)).alias("first"), row_count().alias("dup_rows"), _conflict(df, rest).alias("dq_dup_conflict")
     )
     return agg.select(
         *[F.col(c) if c in key else F.col(f"first.{c}").alias(c) for c in df.columns], "dup_rows", "dq_dup_conflict"
@@ -96,12 +109,15 @@ def differing_columns(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def date_swap_pairs(df: DataFrame, key: Sequence[str], date: str) -> DataFrame:
-    """Keys with exactly two different dates, and whether one is the other with month and day swapped."""
-    days = df.select(*key, F.to_date(date).alias("d")).where("d is not null").groupBy(*key, "d").agg(F.lit(1))
-    pair = days.groupBy(*key).agg(F.min("d").alias("first_date"), F.max("d").alias("second_date"), row_count().alias("n"))
-    return pair.where("n = 2").select(
-        *key, "first_date", "second_date",
-        F.coalesce(swap_month_day("first_date") == F.col("second_date"), F.lit(False)).alias("is_swap"),
+    """Keys with several different dates, and whether two of them are each other with month and day swapped.
+
+    A key keeps the set of its dates, at most one for each day of the calendar.
+    """
+    days = df.select(*key, F.to_date(date).alias("d")).where("d is not null").groupBy(*key).agg(F.array_sort(F.collect_set("d")).alias("days"))
+    swapped = F.exists("days", lambda d: F.coalesce(F.array_contains("days", swap_month_day(d)) & (swap_month_day(d) != d), F.lit(False)))
+    return days.where(F.size("days") > 1).select(
+        *key, F.size("days").cast("bigint").alias("n_dates"), F.array_min("days").alias("first_date"), F.array_max("days").alias("last_date"),
+        swapped.alias("has_swap"),
     )
 
 
@@ -150,14 +166,22 @@ def flag_before_start(fact: DataFrame, entity: DataFrame, *, fact_key: str, enti
     )
 
 
-def before_start_summary(flagged: DataFrame, key: str, flag: str = "dq_before_start") -> DataFrame:
+def date_counts(fact: DataFrame, key: str, date: str) -> DataFrame:
+    """Rows per entity and date: what a hot entity brings to a join is its dates, not its rows."""
+    return fact.groupBy(key, date).agg(row_count().alias("n_rows"))
+
+
+def before_start_summary(flagged: DataFrame, key: str, flag: str = "dq_before_start", *, weight: str | None = None) -> DataFrame:
     """Rows and entities affected, and the median and largest lag in days.
 
+    ``weight`` names the row count of a ``flagged`` made from :func:`date_counts`.
+
     The flagged rows are reduced once to counts per entity and lag and stored, so the join beneath
     runs a single time although entity counts and median read the result separately.
     """
     lag = F.when(F.col(flag), F.col("days_before_start")).alias("lag")
-    lags = flagged.groupBy(F.col(key).alias("entity"), F.col(flag).alias("bad"), lag).agg(row_count().alias("n"))
+    lags = flagged.groupBy(F.col(key).alias("entity"), F.col(flag).alias("bad"), lag).agg(
+        (F.sum(weight) if weight else row_count()).alias("n"))
     lags = materialize(lags, "lags")
     per_entity = lags.groupBy("entity").agg(
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("bad"), F.max("lag").alias("lag")

@@ -38,7 +38,7 @@ class Mixture:
         return -2.0 * self.log_likelihood + (3 * self.k - 1) * math.log(self.n)
 
 
-def fit_mixtures(df: DataFrame, column: str, ks: Sequence[int] = (1, 2, 3), n_init: int = 3, seed: int = 0) -> list[Mixture]:
+def fit_mixtures(df: DataFrame, column: str, ks: Sequence[int] = (1, 2, 3), n_init: int = 5, seed: int = 0) -> list[Mixture]:
     """Best fit of several starts for every k; one component has a closed form.
 
     The assembled column is cached for the passes of all fits. Only fitted parameters, a few

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from .evaluate import score_metrics
-from .features import category_values, fill_with_indicator, null_columns, one_hot
+from .features import fill_with_indicator, null_columns, one_hot
 from .integrity import union_all
 from .ordering import add_position
 from .profile import row_count
@@ -82,19 +82,19 @@ class Matrix:
     names: list[str] = field(default_factory=list)
 
 
-def design_matrix(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> Matrix:
+def design_matrix(df: DataFrame, key: str, label: str, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]] | None = None) -> Matrix:
     """One-hot categories (first one dropped), gap indicators, medians in the gaps, one vector.
 
-    Medians are those of all rows. Scaling is part of the estimators and is fitted inside folds.
+    ``categorical`` maps a column to its levels. Medians are those of all rows. Scaling is part of the estimators and is fitted inside folds.
     """
+    categorical = dict(categorical or {})
     wide = df.select(key, label, *numeric, *categorical)
     gaps = null_columns(wide, numeric) if numeric else []
     wide = fill_with_indicator(wide, list(numeric), gaps)
     names = [*numeric, *[f"{c}_nobase" for c in gaps]]
-    for c in categorical:
-        values = category_values(df, c)
+    for c, values in categorical.items():
         wide = one_hot(wide, c, values)
-        names += [f"{c}_{v}" for v in values[1:]]
+        names += [f"{c}_{v}" for v in sorted(values)[1:]]
     wide = wide.drop(*categorical)
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(wide)
     return Matrix(assembled.select(key, label, *names, "features"), key, label, names)
@@ -117,7 +117,7 @@ def logistic(rows: float, *, c: float = 1.0, weight: str | None = None) -> Estim
 def forest(trees: int = 500, *, min_leaf: int = 5, depth: int = 15, seed: int = 42) -> Estimator:
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=depth,
-        featureSubsetStrategy="sqrt", seed=seed)
+        featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024)
 
 
 def boosting(rounds: int = 100, *, step: float = 0.1, depth: int = 5, seed: int = 42) -> Estimator:
@@ -163,26 +163,28 @@ def oof_scores(
     *,
     k: int = 5,
     seed: int = 42,
-    weights: Mapping[str, Column] | None = None,
+    weights: Mapping[str, Callable[[DataFrame], Column]] | None = None,
+    weighted: Mapping[str, str] | None = None,
     threads: int = 4,
 ) -> DataFrame:
     """Every row scored by models that never saw it: (model, key, label, fold, score).
 
-    ``estimators`` maps a name to a function of the number of training rows. ``weights`` adds
-    weight columns by name. The matrix is cached during the fits and the scores are written once.
+    ``estimators`` maps a name to a function of the training weight: the number of training rows,
+    or for models named in ``weighted`` the sum of that weight column over them. ``weights``
+    makes weight columns from the training rows of each fold. The matrix is cached during the
+    fits and the scores are written once.
     """
     spark = matrix.data.sparkSession
     data = matrix.data.withColumnsRenamed({matrix.label: "label"}) if matrix.label != "label" else matrix.data
-    if weights:
-        data = data.withColumns(dict(weights))
     data = _fold_table(data, matrix.key, k, seed)
     try:
-        n = data.count()
-        train_rows = n * (k - 1) / k
-
         def one(task: tuple[str, int]) -> DataFrame:
             name, f = task
-            model = estimators[name](train_rows).fit(data.where(F.col("fold") != f))
+            train = data.where(F.col("fold") != f)
+            train = train.withColumns({c: make(train) for c, make in (weights or {}).items()})
+            of = (weighted or {}).get(name)
+            total = train.agg(F.sum(of) if of else row_count()).first()[0] or 0.0
+            model = estimators[name](float(total)).fit(train)
             held = data.where(F.col("fold") == f)
             scored = positive_probability(model, held, matrix.key, "label", "fold")
             return scored.select(F.lit(name).alias("model"), matrix.key, "label", "fold", "score")
@@ -254,7 +256,9 @@ def label_signal(matrix: Matrix, estimators: Mapping[str, Callable[[float], Esti
         "model", "n", "positives", F.col("roc_auc").alias("pooled_auc"), "fold_mean_auc", "fold_sd_auc", "average_precision",
         "brier", "best", F.lit("logistic").alias("null_model"), band.getField("lo").alias("null_min"),
         band.getField("hi").alias("null_max"), (beaten / band.getField("n")).alias("share_ge_model"),
-        (F.col("roc_auc") > band.getField("hi")).alias("signal"))
+        ((beaten + 1) / (band.getField("n") + 1)).alias("p_adjusted"),
+        # the chance of a false signal stays at or below 1 in 20; fewer than 19 draws can show none
+        ((beaten + 1) / (band.getField("n") + 1) <= 0.05).alias("signal"))
 
 
 # ------------------------------------------------------------------ importance

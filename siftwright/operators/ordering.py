@@ -21,14 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import edges_passed
+from ..sources.scratch import materialize
 
 _BUCKET = "__bucket"
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets in proportion to the session's shuffle width, within 32 and 8192."""
+    """Buckets in proportion to the session's shuffle width, 32 at least."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(32, min(8192, 4 * width))
+    return max(32, 4 * width)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -38,12 +39,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _with_bucket(df: DataFrame, order: Column, source: DataFrame | None = None) -> DataFrame:
-    """Add the bucket of ``order``; ``source`` holds the same values in a form cheaper to scan."""
+def _with_bucket(df: DataFrame, order: Column) -> DataFrame:
+    """Add the bucket of ``order``."""
     n = bucket_count(df)
     # one distinct value in 256, by hash, is candidate for a cut: the pass shuffles next to nothing,
     # and a table with few distinct values needs few buckets anyway; no row is left out of a bucket
-    candidates = (source or df).select(order.alias("k")).where(F.xxhash64("k").bitwiseAND(F.lit(255)) == 0).distinct()
+    candidates = df.select(order.alias("k")).where(F.xxhash64("k").bitwiseAND(F.lit(255)) == 0).distinct()
     sample = candidates.orderBy(F.xxhash64("k"), "k").limit(n - 1)
     cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("cuts")).scalar()
     return (
@@ -78,8 +79,8 @@ def ordered_counts(
 
     For ``n`` (rows) and every name in ``sums``: the value's own total, ``<name>_before`` (all
     smaller values of the group) and ``<name>_total`` (whole group). NULL values are left out.
-    ``weight`` names a column of row counts when ``df`` is already aggregated; then the cuts are
-    taken from the aggregate too, so that an expensive input runs once.
+    ``weight`` names a column of row counts when ``df`` is already aggregated. The input runs
+    once: its distinct values are stored, and cuts, order and offsets read them from there.
     """
     by = list(by)
     sums = dict(sums or {})
@@ -89,7 +90,8 @@ def ordered_counts(
         present.groupBy(*by, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    bucketed = _with_bucket(per_value, F.struct(*by, value), per_value if weight else present)
+    per_value = materialize(per_value, "values")
+    bucketed = _with_bucket(per_value, F.struct(*by, value))
     inside = (
         Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -172,8 +174,8 @@ def add_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *,
 def consecutive_gaps(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with the next larger value and the gap between them."""
     present = df.where(F.col(value).isNotNull()).select(F.col(value).alias("lower"))
-    distinct = present.distinct()
-    bucketed = _with_bucket(distinct, F.struct("lower"), present)
+    distinct = materialize(present.distinct(), "values")
+    bucketed = _with_bucket(distinct, F.struct("lower"))
     firsts = bucketed.groupBy(_BUCKET).agg(F.min("lower").alias("__first"))
     # at most bucket_count() rows
     follow = firsts.select(

@@ -61,22 +61,15 @@ def table_shape(df: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], *, max_distinct: int | None = None) -> DataFrame:
-    """Row count of every value, NULL kept as its own value; optionally low-cardinality columns only.
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Row count of every value of the named columns, NULL kept as its own value."""
+    return unpivot(df, columns, name="column", dtype="string").groupBy("column", "value").agg(row_count().alias("n"))
 
-    A column whose distinct-count sketch lies ten times above the limit is dropped before its
-    values are shuffled (the sketch errs by a few percent); the rest is decided exactly.
-    """
-    if max_distinct is not None:
-        sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-        columns = [c for c in columns if sketch[c] <= 10 * max_distinct + 100]
-        if not columns:
-            return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    counts = unpivot(df, columns, name="column", dtype="string").groupBy("column", "value").agg(row_count().alias("n"))
-    if max_distinct is None:
-        return counts
-    narrow = counts.groupBy("column").agg(F.count("value").alias("d")).where(F.col("d") <= max_distinct)
-    return counts.join(narrow, "column", "left_semi")
+
+def value_widths(df: DataFrame, columns: Sequence[str], max_distinct: int) -> DataFrame:
+    """Distinct values of every column and whether there are too many to be listed one by one."""
+    counts = value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"))
+    return counts.withColumn("too_many", F.col("n_distinct") > max_distinct)
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *, approximate: bool = False) -> DataFrame:
@@ -92,7 +85,11 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *, appr
             "n_distinct": lambda c: F.approx_count_distinct(c),
         })
     else:
-        counts = value_counts(df, columns).groupBy("column").agg(
+        # texts are counted by digest, so that none is shuffled as a key
+        short = df.select(*[
+            F.sha2(F.encode(F.col(f.name), "UTF-8"), 256).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name)
+            for f in df.schema.fields if f.name in columns])
+        counts = value_counts(short, columns).groupBy("column").agg(
             F.sum("n").alias("n"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
             F.count("value").alias("n_distinct"),
@@ -193,13 +190,20 @@ def shape_masks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram_fixed(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
-    """Counts over ``(lo, hi]`` bins, empty bins kept; one aggregate without a row shuffle."""
-    b = bin_right_closed(F.col(column), edges)
-    bins = list(zip(edges[:-1], edges[1:]))
-    row = df.select(b.alias("b")).agg(*[F.count_if(F.col("b") == i + 1).alias(f"b{i}") for i in range(len(bins))])
+    """Counts over ``(lo, hi]`` bins, empty bins kept; one aggregate without a row shuffle.
+
+    The first bin has no lower and the last no upper end, so every value is counted.
+    """
+    x = F.col(column)
+    b = F.when(x <= float(edges[0]), 0).when(x > float(edges[-1]), len(edges)).otherwise(bin_right_closed(x, edges))
+    bins = list(zip([None, *edges], [*edges, None]))
+    row = df.select(b.alias("b")).agg(*[F.count_if(F.col("b") == i).alias(f"b{i}") for i in range(len(bins))])
+
+    def end(v: float | None) -> Column:
+        return F.lit(None if v is None else float(v)).cast("double")
+
     return row.select(F.inline(F.array(*[
-        F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.col(f"b{i}").alias("n"))
-        for i, (lo, hi) in enumerate(bins)
+        F.struct(end(lo).alias("lo"), end(hi).alias("hi"), F.col(f"b{i}").alias("n")) for i, (lo, hi) in enumerate(bins)
     ])))
 
 
@@ -261,14 +265,16 @@ def seeded_sample(df: DataFrame, key: Column | str, n: int, seed: int) -> DataFr
     return df.orderBy(h, k).limit(n)
 
 
-def evidence_list(df: DataFrame, column: str, condition: Column, limit: int = 20) -> DataFrame:
-    """The smallest flagged values as one line of text, with the count and range of all of them.
+def evidence_rows(df: DataFrame, key: Sequence[str], column: str, condition: Column) -> DataFrame:
+    """Every flagged row: its key, the value and the value's text."""
+    return df.where(condition).select(*key, F.col(column).alias("value"), F.format_string("%.2f", F.col(column)).alias("evidence"))
 
-    Only the listed values are ordered (a distributed top-n); the count and range cover every row.
-    """
+
+def evidence_top(df: DataFrame, column: str, condition: Column, n: int) -> DataFrame:
+    """The ``n`` smallest flagged values as one line of text, with the count and range of all of them."""
     x = F.col(column)
     flagged = df.where(condition).select(x.alias("x"))
-    listed = flagged.orderBy("x").limit(limit).agg(F.array_sort(F.collect_list("x")).alias("v"))
+    listed = flagged.orderBy("x").limit(n).agg(F.array_sort(F.collect_list("x")).alias("v"))
     text = F.array_join(F.transform("v", lambda v: F.format_string("%.2f", v)), ", ")
     return flagged.agg(row_count().alias("n"), F.min("x").alias("lowest"), F.max("x").alias("highest")).withColumn(
         "listed", listed.select(text.alias("t")).scalar())

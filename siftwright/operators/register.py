@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from ..sources.sinks import REGISTER_COLUMNS
 from .integrity import union_all
 from .profile import row_count
@@ -65,8 +66,11 @@ def clean_bill(checks: DataFrame) -> DataFrame:
 
 
 def require_all(checks: DataFrame) -> DataFrame:
-    """Fail loudly when a check failed; the first few failures are named."""
-    failed = [f"{r['name']}: expected {r['expected']}, found {r['actual']}" for r in checks.where("not passed").limit(20).collect()]
-    if failed:
-        raise ValueError("reconciliation failed: " + "; ".join(failed))
+    """Fail loudly when a check failed: all failures are written as a table, and the error names it and their number."""
+    failed = checks.where("not passed")
+    n = failed.count()
+    if n:
+        path = scratch_path(checks.sparkSession, "failed-checks")
+        failed.write.parquet(path)
+        raise ValueError(f"reconciliation failed: {n} checks, listed in {path}")
     return checks

@@ -99,8 +99,9 @@ def rate_by_quantile(df: DataFrame, column: str, label: str, bins: int) -> DataF
 
 
 def rate_by_fixed_bin(df: DataFrame, column: str, label: str, edges: Sequence[float]) -> DataFrame:
-    """Label mean and size per fixed ``(lo, hi]`` bin; rows outside the edges are left out."""
-    b = bin_right_closed(F.col(column).cast("double"), edges)
+    """Label mean and size per fixed ``(lo, hi]`` bin; bin 0 lies below the edges, the last above them."""
+    x = F.col(column).cast("double")
+    b = F.when(x <= float(edges[0]), 0).when(x > float(edges[-1]), len(edges)).otherwise(bin_right_closed(x, edges))
     return df.select(b.alias("bin"), F.col(label).alias("y")).where("bin is not null").groupBy("bin").agg(
         row_count().alias("n"), F.avg("y").alias("rate")
     )

@@ -72,7 +72,7 @@ def average_precision(t: Tables) -> DataFrame:
 
 @query("brier", sql=f"SELECT model, round(avg(pow(score - toxic, 2)), 6) AS brier, round(avg(toxic) * (1 - avg(toxic)), 6) AS brier_no_skill FROM {_LONG} GROUP BY 1")
 def brier(t: Tables) -> DataFrame:
-    return _metrics(t).select("model", "brier", "brier_no_skill")
+    return rounded(E.brier_score(_long(t), "score", "toxic", ["model"]))
 
 
 @query("model_comparison_given_scores", sql=f"SELECT *, model = (SELECT arg_max(model, roc_auc) FROM ({_METRICS})) AS best FROM ({_METRICS})")

@@ -166,13 +166,17 @@ def fill_with_indicator(t: Tables) -> DataFrame:
     return rounded(V.fill_with_indicator(f, ["fill_halfratio"], V.null_columns(f, ["fill_halfratio"])), 8)
 
 
+# The market segments.
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 @query("one_hot", sql="""
 SELECT c_custkey, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS "c_mktsegment_BUILDING", CAST(c_mktsegment = 'FURNITURE' AS INTEGER) AS "c_mktsegment_FURNITURE",
        CAST(c_mktsegment = 'HOUSEHOLD' AS INTEGER) AS "c_mktsegment_HOUSEHOLD", CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS "c_mktsegment_MACHINERY" FROM customer
 """)
 def one_hot(t: Tables) -> DataFrame:
     c = t("customer").select("c_custkey", "c_mktsegment")
-    return V.one_hot(c, "c_mktsegment", V.category_values(c, "c_mktsegment")).drop("c_mktsegment")
+    return V.one_hot(c, "c_mktsegment", SEGMENTS).drop("c_mktsegment")
 
 
 _FAMILIES = {"contract": ["tenure_months", "start_year"], "usage_level": ["spend_mean"], "usage_trend": ["fill_halfratio"], "engagement": ["filled_total"]}

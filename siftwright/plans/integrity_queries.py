@@ -68,7 +68,9 @@ SELECT text, arg_min(doc_id, doc_id) AS doc_id, count(*) AS dup_rows, count(*) >
 FROM documents GROUP BY text
 """)
 def dup_keep_first_texts(t: Tables) -> DataFrame:
-    return I.keep_first(t("documents").select("text", "doc_id"), ["text"], ["doc_id"])
+    # one digest and one id per text decide; the survivors' texts are fetched by id
+    first = I.keep_first(t("documents").select(I.text_digest("text").alias("digest"), "doc_id"), ["digest"], ["doc_id"])
+    return t("documents").select("text", "doc_id").join(first.drop("digest"), "doc_id")
 
 
 _REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -88,14 +90,16 @@ def dup_diff_columns(t: Tables) -> DataFrame:
 
 @query("date_swap_pairs", sql="""
 WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d FROM lineitem),
-     p AS (SELECT l_orderkey, l_linenumber, min(d) AS a, max(d) AS b FROM d GROUP BY 1, 2 HAVING count(*) = 2)
-SELECT l_orderkey, l_linenumber, strftime(a, '%Y-%m-%d') AS first_date, strftime(b, '%Y-%m-%d') AS second_date,
-       year(a) = year(b) AND month(a) = day(b) AND day(a) = month(b) AS is_swap FROM p
+     s AS (SELECT DISTINCT x.l_orderkey, x.l_linenumber FROM d x JOIN d y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber = y.l_linenumber
+           AND x.d < y.d AND year(x.d) = year(y.d) AND month(x.d) = day(y.d) AND day(x.d) = month(y.d))
+SELECT d.l_orderkey, d.l_linenumber, count(*) AS n_dates, strftime(min(d), '%Y-%m-%d') AS first_date, strftime(max(d), '%Y-%m-%d') AS last_date,
+       bool_or(s.l_orderkey IS NOT NULL) AS has_swap
+FROM d LEFT JOIN s ON s.l_orderkey = d.l_orderkey AND s.l_linenumber = d.l_linenumber GROUP BY 1, 2 HAVING count(*) > 1
 """)
 def date_swap_pairs(t: Tables) -> DataFrame:
     pairs = I.date_swap_pairs(t("lineitem"), LINE_KEY, "l_shipdate")
     return pairs.withColumn("first_date", F.col("first_date").cast("string")).withColumn(
-        "second_date", F.col("second_date").cast("string"))
+        "last_date", F.col("last_date").cast("string"))
 
 
 @query("orphan_keys", sql="""
@@ -153,7 +157,10 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE bad) AS affected_rows,
        round(count(*) FILTER (WHERE bad) * 100 / count(*), 6) AS affected_pct FROM j
 """)
 def before_start_summary(t: Tables) -> DataFrame:
-    return rounded(I.before_start_summary(_lines_with_start(t), "l_orderkey"))
+    flagged = I.flag_before_start(
+        I.date_counts(t("lineitem"), "l_orderkey", "l_shipdate"), t("orders").select("o_orderkey", "o_orderdate"),
+        fact_key="l_orderkey", entity_key="o_orderkey", fact_date="l_shipdate", start_date="o_orderdate")
+    return rounded(I.before_start_summary(flagged, "l_orderkey", weight="n_rows"))
 
 
 @query("before_start_by_month", sql="""
@@ -177,8 +184,8 @@ FROM events e LEFT JOIN s ON e.user_id = s.user_id
 def events_before_signup(t: Tables) -> DataFrame:
     signup = t("events").where("event_type = 'signup'").groupBy(F.col("user_id").alias("u")).agg(F.min("ts").alias("signup_ts"))
     flagged = I.flag_before_start(
-        t("events"), signup, fact_key="user_id", entity_key="u", fact_date="ts", start_date="signup_ts")
-    return rounded(I.before_start_summary(flagged, "user_id"))
+        I.date_counts(t("events"), "user_id", "ts"), signup, fact_key="user_id", entity_key="u", fact_date="ts", start_date="signup_ts")
+    return rounded(I.before_start_summary(flagged, "user_id", weight="n_rows"))
 
 
 @query("calendar_gaps", sql="""

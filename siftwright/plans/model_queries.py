@@ -14,11 +14,10 @@ from ..operators import evaluate as E
 from ..operators import models as L
 from ..operators import monitor as G
 from ..operators.integrity import union_all
-from ..operators.profile import seeded_sample
 from ..sources import sinks
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import Tables
-from .feature_queries import METRICS, customer_features
+from .feature_queries import METRICS, SEGMENTS, customer_features
 from .registry import query
 
 _NUMERIC = [
@@ -30,13 +29,16 @@ _NUMERIC = [
 
 def customer_matrix(t: Tables) -> L.Matrix:
     table = materialize(customer_features(t).where("label is not null"), "customer-features")
-    return L.design_matrix(table, "o_custkey", "label", _NUMERIC, ["c_mktsegment"])
+    return L.design_matrix(table, "o_custkey", "label", _NUMERIC, {"c_mktsegment": SEGMENTS})
 
 
 def embedding_matrix(t: Tables) -> L.Matrix:
     rows = t("embeddings").select(
         "vec_id", (F.col("label") == 0).cast("int").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    size = t("embeddings").select(F.size("embedding").alias("d")).limit(1).first()["d"]
+    ends = t("embeddings").agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
+    if ends["lo"] != ends["hi"]:
+        raise ValueError("vectors of different lengths")
+    size = ends["hi"]
     return L.Matrix(rows, "vec_id", "label", [f"e{i}" for i in range(size)])
 
 
@@ -44,77 +46,116 @@ def _estimators():
     return {
         "logistic": lambda n: L.logistic(n),
         "logistic balanced": lambda n: L.logistic(n, weight="w_balanced"),
-        "forest": lambda n: L.forest(30, depth=6),
-        "boosting": lambda n: L.boosting(10, depth=3),
+        "forest": lambda n: L.forest(500),
+        "boosting": lambda n: L.boosting(100),
     }
 
 
-@query("oof_scores")
+# Fits are iterative, so the queries return what any right fit must satisfy and SQL can state: who was
+# scored in which fold, ranges, sums, the closed form of one component, and the verdicts of both controls.
+_CUSTOMERS = "(SELECT c_custkey AS o_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label FROM customer)"
+_FOLDED = f"""(SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || o_custkey), o_custkey) - 1) % 5 AS INTEGER) AS fold FROM {_CUSTOMERS})"""
+_TOTALS = f"(SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM {_CUSTOMERS})"
+
+
+def _inside(c: str) -> F.Column:
+    return (F.col(c) > 0) & (F.col(c) < 1)
+
+
+def _scores(t: Tables) -> DataFrame:
+    return L.oof_scores(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, k=5)
+
+
+@query("oof_scores", sql=f"SELECT o_custkey, label, fold, true AS inside FROM {_FOLDED}")
 def oof_scores(t: Tables) -> DataFrame:
-    m = customer_matrix(t)
-    return L.oof_scores(m, {"logistic": lambda n: L.logistic(n)}, k=5)
+    return _scores(t).select("o_custkey", F.col("label").cast("int").alias("label"), "fold", _inside("score").alias("inside"))
 
 
-@query("model_comparison")
+@query("model_comparison", sql=f"""
+SELECT unnest(['boosting', 'forest', 'logistic', 'logistic balanced', 'no-skill']) AS model, n, positives, true AS near_half, true AS brier_in_range, CAST(1 AS BIGINT) AS n_best
+FROM {_TOTALS}
+""")
 def model_comparison(t: Tables) -> DataFrame:
     m = customer_matrix(t)
-    scores = L.oof_scores(m, _estimators(), k=3, weights={"w_balanced": L.balanced_weight(m.data, "label")})
-    folded = L.stratified_folds(m.data.select(m.key, "label"), m.key, "label", 3)
+    scores = L.oof_scores(
+        m, _estimators(), k=5, weights={"w_balanced": lambda d: L.balanced_weight(d, "label")}, weighted={"logistic balanced": "w_balanced"})
+    folded = L.stratified_folds(m.data.select(m.key, "label"), m.key, "label", 5)
     plain = L.base_rate_scores(folded, m.key, "label").select(F.lit("no-skill").alias("model"), m.key, "label", "fold", "score")
-    return L.model_comparison(union_all([scores, plain]))
+    table = materialize(L.model_comparison(union_all([scores, plain])), "comparison")
+    best = table.where("best and model <> 'no-skill'").agg(F.count(F.lit(1))).scalar()
+    # the label does not depend on the features
+    return table.select("model", "n", "positives", (F.abs(F.col("roc_auc") - 0.5) < 0.2).alias("near_half"),
+                        F.col("brier").between(0, 0.5).alias("brier_in_range"), best.alias("n_best"))
 
 
-@query("label_signal_none")
+@query("label_signal_none", sql=f"SELECT 'logistic' AS model, n, positives, 'logistic' AS null_model, true AS band_around_half, false AS signal FROM {_TOTALS}")
 def label_signal_none(t: Tables) -> DataFrame:
-    return L.label_signal(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, draws=5, k=3)
+    found = L.label_signal(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, draws=20, k=5)
+    return found.select("model", "n", "positives", "null_model", ((F.col("null_min") < 0.5) & (F.col("null_max") > 0.5)).alias("band_around_half"), "signal")
 
 
-@query("label_signal_control")
+@query("label_signal_control", sql="""
+SELECT unnest(['forest', 'logistic']) AS model, count(*) AS n, count(*) FILTER (WHERE label = 0) AS positives, true AS signal FROM embeddings
+""")
 def label_signal_control(t: Tables) -> DataFrame:
-    return L.label_signal(
-        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(30, depth=6)}, draws=5, k=3)
+    found = L.label_signal(
+        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(100)}, draws=20, k=5)
+    return found.select("model", "n", "positives", "signal")
 
 
-@query("cost_weighted_comparison")
+@query("cost_weighted_comparison", sql="""
+SELECT unnest(['weights 1 to 1', 'weights 5 to 1']) AS model, true AS tau_in_range, true AS at_most_nobody, true AS at_most_everybody
+""")
 def cost_weighted_comparison(t: Tables) -> DataFrame:
     m = customer_matrix(t)
     scores = L.oof_scores(
-        m, {"plain logistic": lambda n: L.logistic(n), "cost-weighted logistic": lambda n: L.logistic(n, weight="w_cost")},
-        k=3, weights={"w_cost": L.cost_weight("label")})
-    taus = [0.01 + i * 0.98 / 199 for i in range(200)]
-    return E.compare_variants(scores, "model", "score", "label", taus)
+        m, {"weights 1 to 1": lambda n: L.logistic(n), "weights 5 to 1": lambda n: L.logistic(n, weight="w_cost")},
+        k=5, weights={"w_cost": lambda d: L.cost_weight("label")}, weighted={"weights 5 to 1": "w_cost"})
+    # both ends of the grid stand for the fixed policies: an offer to everybody and to nobody
+    found = E.compare_variants(scores, "model", "score", "label", [0.0, *[0.01 + i * 0.98 / 199 for i in range(200)], 1.01])
+    rows = m.data.agg(F.count(F.lit(1))).scalar()
+    return found.select("model", F.col("best_tau").between(0, 1.01).alias("tau_in_range"), (F.col("saving_vs_nobody") >= 0).alias("at_most_nobody"),
+                        (F.col("min_cost") <= rows).alias("at_most_everybody"))
+
 
+_FEATURES = "(SELECT 'e' || i AS feature FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i))"
 
-@query("permutation_importance")
+
+@query("permutation_importance", sql=f"SELECT feature, true AS in_range FROM {_FEATURES}")
 def permutation_importance(t: Tables) -> DataFrame:
-    return L.cross_importance(embedding_matrix(t), lambda n: L.forest(30, depth=6), k=3, repeats=2)
+    found = L.cross_importance(embedding_matrix(t), lambda n: L.forest(100), k=5, repeats=5)
+    return found.select("feature", (F.abs("perm_importance") <= 1).alias("in_range"))
+
+
+_SHARES = "SELECT count(*) AS features, 1.0::DOUBLE AS total_share, true AS none_negative FROM {}"
+
+
+def _share_check(shares: DataFrame) -> DataFrame:
+    return shares.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("share"), 6).alias("total_share"),
+                      F.bool_and(F.col("share") >= 0).alias("none_negative"))
 
 
-@query("sampled_shapley")
+@query("sampled_shapley", sql=_SHARES.format(_FEATURES))
 def sampled_shapley(t: Tables) -> DataFrame:
-    # explaining 1,000 seeded rows is the operator: reports read shares per feature
     m = embedding_matrix(t)
     data = materialize(m.data, "embedding-matrix")
-    model = L.forest(30, depth=6).fit(data)
-    return L.sampled_shapley(model, seeded_sample(data, m.key, 1000, 42), m.key, m.names, repeats=2)
+    model = L.forest(100).fit(data)
+    return _share_check(L.sampled_shapley(model, data, m.key, m.names, repeats=4))
 
 
-@query("logistic_attribution")
+@query("logistic_attribution", sql="SELECT 1.0::DOUBLE AS total_share, true AS none_negative, true AS all_features")
 def logistic_attribution(t: Tables) -> DataFrame:
     m = customer_matrix(t)
-    data = materialize(m.data, "customer-matrix").persist()
-    try:
-        scaler, lr = L.logistic(data.count()).fit(data).stages
-    finally:
-        data.unpersist()
+    data = materialize(m.data, "customer-matrix")
+    scaler, lr = L.logistic(data.count()).fit(data).stages
     # coefficients act on standardised values; divide by the sd to act on raw ones
     weights = {c: float(w / s) if s > 0 else 0.0 for c, w, s in zip(m.names, lr.coefficients, scaler.std)}
-    return G.attribution_shares(data, weights)
+    shares = _share_check(G.attribution_shares(data, weights))
+    return shares.select("total_share", "none_negative", (F.col("features") == len(m.names)).alias("all_features"))
 
 
-@query("score_sink")
+@query("score_sink", sql=f"SELECT o_custkey, true AS inside FROM {_CUSTOMERS}")
 def score_sink(t: Tables) -> DataFrame:
-    scores = oof_scores(t)
     path = scratch_path(t.spark, "scores")
-    sinks.write_scores(scores, path, key="o_custkey", score="score")
-    return sinks.assert_unique_key(t.spark, path, ["o_custkey"])
+    sinks.write_scores(_scores(t), path, key="o_custkey", score="score")
+    return sinks.assert_unique_key(t.spark, path, ["o_custkey"]).select("o_custkey", _inside("score").alias("inside"))

@@ -24,13 +24,13 @@ def table_shape(t: Tables) -> DataFrame:
 
 
 @query("table_shape_texts", sql="""
-SELECT count(*) AS n_rows, CAST(1 AS BIGINT) AS n_columns,
-       count(*) - count(DISTINCT text) AS duplicate_rows,
+SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_columns,
+       count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS duplicate_rows,
        count(*) - count(DISTINCT text) AS surplus_key_rows, count(DISTINCT text) AS distinct_keys
 FROM documents
 """)
 def table_shape_texts(t: Tables) -> DataFrame:
-    return P.table_shape(t("documents").select(I.text_digest("text").alias("digest")), ["digest"])
+    return P.table_shape(t("documents").withColumn("text", I.text_digest("text")), ["text"])
 
 
 _PROFILED = [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")]
@@ -51,10 +51,10 @@ def profile_columns(t: Tables) -> DataFrame:
 
 
 @query("profile_columns_with_gaps", sql=_profile_sql(
-    "(SELECT d.doc_id, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
-    [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("quality", "int"), ("toxic", "int")]))
+    "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)",
+    [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"), ("quality", "int"), ("toxic", "int")]))
 def profile_columns_with_gaps(t: Tables) -> DataFrame:
-    joined = t("documents").select("doc_id", "lang", "source").join(t("labels"), "doc_id", "left")
+    joined = t("documents").join(t("labels"), "doc_id", "left")
     return rounded(P.profile_columns(joined))
 
 
@@ -73,10 +73,14 @@ def profile_numeric(t: Tables) -> DataFrame:
     f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM {tab} GROUP BY {c}"
     for tab, c in [("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("lineitem", "l_linenumber")]))
 def profile_values(t: Tables) -> DataFrame:
-    # l_orderkey has far more than 20 values and therefore drops out
-    return P.value_counts(
-        t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"], max_distinct=20
-    )
+    return P.value_counts(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query("value_widths", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) > 20 AS too_many FROM lineitem"
+    for c in ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"]))
+def value_widths(t: Tables) -> DataFrame:
+    return P.value_widths(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber", "l_orderkey"], 20)
 
 
 @query("profile_values_nulls", sql=" UNION ALL ".join(
@@ -84,7 +88,7 @@ def profile_values(t: Tables) -> DataFrame:
     f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY {c}" for c in ["quality", "toxic", "lang"]))
 def profile_values_nulls(t: Tables) -> DataFrame:
     joined = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
-    return P.value_counts(joined, ["quality", "toxic", "lang"], max_distinct=20)
+    return P.value_counts(joined, ["quality", "toxic", "lang"])
 
 
 _DESCRIBE = """
@@ -172,8 +176,9 @@ _EDGES = [0, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000]
 
 
 @query("hist_fixed", sql=" UNION ALL ".join(
-    f"SELECT CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, count(*) FILTER (WHERE n_chars > {lo} AND n_chars <= {hi}) AS n FROM documents"
-    for lo, hi in zip(_EDGES[:-1], _EDGES[1:])))
+    f"SELECT CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, "
+    f"count(*) FILTER (WHERE n_chars > coalesce({lo}, -1) AND n_chars <= coalesce({hi}, n_chars)) AS n FROM documents"
+    for lo, hi in zip(["NULL", *_EDGES], [*_EDGES, "NULL"])))
 def hist_fixed(t: Tables) -> DataFrame:
     return P.histogram_fixed(t("documents"), "n_chars", _EDGES)
 
@@ -269,10 +274,15 @@ def unparseable_dates(t: Tables) -> DataFrame:
     return I.unparseable_dates(t("orders").select(written.alias("s")), "s")
 
 
-@query("evidence_list", sql="""
+@query("evidence_list", sql="SELECT c_custkey, c_acctbal AS value, printf('%.2f', c_acctbal) AS evidence FROM customer WHERE c_acctbal < 0")
+def evidence_list(t: Tables) -> DataFrame:
+    return P.evidence_rows(t("customer"), ["c_custkey"], "c_acctbal", F.col("c_acctbal") < 0)
+
+
+@query("evidence_top20", sql="""
 SELECT count(*) AS n, min(c_acctbal) AS lowest, max(c_acctbal) AS highest,
   (SELECT string_agg(printf('%.2f', v), ', ' ORDER BY v) FROM (SELECT c_acctbal AS v FROM customer WHERE c_acctbal < 0 ORDER BY 1 LIMIT 20)) AS listed
 FROM customer WHERE c_acctbal < 0
 """)
-def evidence_list(t: Tables) -> DataFrame:
-    return P.evidence_list(t("customer"), "c_acctbal", F.col("c_acctbal") < 0)
+def evidence_top20(t: Tables) -> DataFrame:
+    return P.evidence_top(t("customer"), "c_acctbal", F.col("c_acctbal") < 0, 20)

@@ -104,11 +104,11 @@ def quantile_bins_with_ties(t: Tables) -> DataFrame:
 
 
 @query("label_rate_by_fixed_bin", sql=f"""
-SELECT CASE WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 2000 THEN 2 WHEN n_chars <= 8000 THEN 3 ELSE 4 END AS bin,
-       count(*) AS n, round(avg(toxic), 6) AS rate FROM {_LABELLED} WHERE n_chars > 0 AND n_chars <= 1000000 GROUP BY 1
+SELECT CASE WHEN n_chars <= 10 THEN 0 WHEN n_chars <= 500 THEN 1 WHEN n_chars <= 2000 THEN 2 WHEN n_chars <= 8000 THEN 3 ELSE 4 END AS bin,
+       count(*) AS n, round(avg(toxic), 6) AS rate FROM {_LABELLED} GROUP BY 1
 """)
 def label_rate_by_fixed_bin(t: Tables) -> DataFrame:
-    return rounded(S.rate_by_fixed_bin(_labelled(t), "n_chars", "toxic", [0, 500, 2000, 8000, 1000000]))
+    return rounded(S.rate_by_fixed_bin(_labelled(t), "n_chars", "toxic", [10, 500, 2000, 8000]))
 
 
 @query("median_distance", sql=" UNION ALL ".join(

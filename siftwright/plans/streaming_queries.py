@@ -32,17 +32,16 @@ def stream_flags(t: Tables) -> DataFrame:
 @query("stream_dedup", sql="SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def stream_dedup(t: Tables) -> DataFrame:
     days = _events(t).withColumn("day", utc_day("ts"))
-    unique = N.drop_repeats(days, ["user_id", "event_type", "day"], "ts", "40 days")
+    unique = N.drop_repeats(days, ["user_id", "event_type", "day"], "ts", "1 day")
     return N.run_available(unique.select("user_id", "event_type", "day"), "stream-dedup")
 
 
 @query("stream_window_profile", sql="""
 WITH w AS (SELECT date_trunc('day', ts) AS d, count(*) AS n, count(*) - count(value) AS nulls, count(*) FILTER (WHERE value < 0) AS negatives, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1)
 SELECT strftime(d, '%Y-%m-%d') AS day, n, nulls, negatives, round(m, 6) AS mean, round(s, 6) AS sd FROM w
-WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_window_profile(t: Tables) -> DataFrame:
-    p = N.run_available(N.window_profile(_events(t), "value", "ts", "1 day", "1 hour"), "stream-profile")
+    p = N.run_to_end(N.window_profile(_events(t), "value", "ts", "1 day", "1 hour"), "stream-profile", ["window_start"])
     return rounded(p.select(utc_day("window_start").alias("day"), "n", "nulls", "negatives", "mean", "sd"))
 
 
@@ -52,13 +51,12 @@ _SOURCE = "(SELECT CAST(day(ts) AS INTEGER) AS day, ts, value, CAST(user_id AS D
 @query("stream_psi", sql=f"""
 SELECT metric, strftime(make_date(2024, 1, day), '%Y-%m-%d') AS window_day, CAST(n AS BIGINT) AS n, round(psi, 6) AS psi
 FROM {_psi_sql(_SOURCE, 'day', ['value', 'user_id'], 'day <= 10')}
-WHERE make_date(2024, 1, day) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """)
 def stream_psi(t: Tables) -> DataFrame:
     reference = materialize(
         reference_bins(t("events").where(F.dayofmonth("ts") <= 10), ["value", "user_id"]), "stream-reference")
     live = N.window_psi(_events(t), reference, ["value", "user_id"], "ts", "1 day", "1 hour")
-    out = N.run_available(live, "stream-psi")
+    out = N.run_to_end(live, "stream-psi", ["metric", "window_start"])
     return rounded(out.select("metric", utc_day("window_start").alias("window_day"), "n", "psi"))
 
 

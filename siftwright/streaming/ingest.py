@@ -38,6 +38,28 @@ def run_available(stream: DataFrame, name: str, *, schema_of: DataFrame | None =
     return spark.read.schema((schema_of or stream).schema).parquet(f"{base}/data")
 
 
+def run_to_end(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Process an ended source and return the last state of every window, also of those no watermark has closed.
+
+    Each micro-batch writes the windows it changed to a folder of its own, overwritten if the
+    batch is tried again; of a window's rows the one of the latest batch counts.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(f"{base}/data")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("r"))
+    return last.select(*keys, "r.*").select(*stream.columns)
+
+
 def flag_rows(stream: DataFrame, flags: Mapping[str, Column]) -> DataFrame:
     """Row-level rules; stateless, so they need no watermark."""
     return stream.withColumns(dict(flags))

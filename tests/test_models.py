@@ -19,8 +19,8 @@ def matrix(spark):
 
 
 def test_signal_beats_the_null_and_noise_does_not(spark, matrix):
-    found = L.label_signal(matrix, {"logistic": lambda n: L.logistic(n)}, draws=3, k=2).first()
-    assert found["pooled_auc"] > 0.85 and found["signal"] and found["share_ge_model"] == 0.0
+    found = L.label_signal(matrix, {"logistic": lambda n: L.logistic(n)}, draws=19, k=2).first()
+    assert found["pooled_auc"] > 0.85 and found["signal"] and found["share_ge_model"] == 0.0 and found["p_adjusted"] == pytest.approx(0.05)
     shuffled = L.permute_labels(matrix.data.select("k", "label"), "k", "label", 1).select("k", "label")
     noise = L.Matrix(matrix.data.drop("label").join(shuffled, "k"), "k", "label", matrix.names)
     scores = L.oof_scores(noise, {"logistic": lambda n: L.logistic(n)}, k=2)
@@ -39,7 +39,7 @@ def test_importance_finds_the_planted_feature(spark, matrix):
 
 def test_design_matrix_names_and_gaps(spark):
     df = spark.createDataFrame([(i, i % 2, None if i == 3 else float(i), "abc"[i % 3]) for i in range(12)], "k int, label int, v double, c string")
-    m = L.design_matrix(df, "k", "label", ["v"], ["c"])
+    m = L.design_matrix(df, "k", "label", ["v"], {"c": ["a", "b", "c"]})
     assert m.names == ["v", "v_nobase", "c_b", "c_c"]
     row = m.data.where("k = 3").first()
     assert list(row["features"].toArray()) == [6.0, 1.0, 0.0, 0.0]
