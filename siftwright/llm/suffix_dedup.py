@@ -39,7 +39,7 @@ from .text import whole
 WIDTH = 400
 CORE = 100
 PART_PIECES = 20_000
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _PLACE = np.uint64((1 << 21) - 1)
 _PAD = 256
 
