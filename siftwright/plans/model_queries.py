@@ -46,7 +46,7 @@ def _estimators():
     return {
         "logistic": lambda n: L.logistic(n),
         "logistic balanced": lambda n: L.logistic(n, weight="w_balanced"),
-        "forest": lambda n: L.forest(500),
+        "forest": lambda n: L.forest(100),
         "boosting": lambda n: L.boosting(100),
     }
 
