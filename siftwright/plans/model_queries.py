@@ -46,7 +46,7 @@ def _estimators():
     return {
         "logistic": lambda n: L.logistic(n),
         "logistic balanced": lambda n: L.logistic(n, weight="w_balanced"),
-        "forest": lambda n: L.forest(100),
+        "forest": lambda n: L.forest(500),
         "boosting": lambda n: L.boosting(100),
     }
 
@@ -99,7 +99,7 @@ SELECT unnest(['forest', 'logistic']) AS model, count(*) AS n, count(*) FILTER (
 """)
 def label_signal_control(t: Tables) -> DataFrame:
     found = L.label_signal(
-        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(100)}, draws=20, k=5)
+        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(500)}, draws=20, k=5)
     return found.select("model", "n", "positives", "signal")
 
 

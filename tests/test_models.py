@@ -5,6 +5,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 
 from siftwright.operators import models as L
+from siftwright.plans import QUERIES
+from siftwright.plans import model_queries as Q
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +51,18 @@ def test_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "label int")
     got = df.select("label", L.balanced_weight(df, "label").alias("b"), L.cost_weight("label").alias("c")).collect()
     assert {r["label"]: (r["b"], r["c"]) for r in got} == {1: (2.0, 5.0), 0: (pytest.approx(2 / 3), 1.0)}
+
+
+def test_queries_fit_full_forests(spark, folder, monkeypatch):
+    asked = {}
+
+    def stop(matrix, estimators, **kw):
+        asked.update(estimators)
+        raise InterruptedError
+
+    monkeypatch.setattr(Q.L, "oof_scores", stop)
+    for name in ("model_comparison", "label_signal_control"):
+        asked.clear()
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, folder)
+        assert asked["forest"](400.0).getNumTrees() == 500, name
