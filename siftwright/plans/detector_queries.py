@@ -10,7 +10,7 @@ from ..operators import mixture as M
 from ..operators.profile import row_count
 from ..sources.tables import Tables
 from . import sqltext
-from .registry import query, rounded
+from .registry import query, result, rounded
 
 
 def _docs_with_labels(t: Tables) -> DataFrame:
@@ -139,26 +139,37 @@ def mixture_flags(t: Tables) -> DataFrame:
         M.is_contaminated("log_chars", model).alias("dq_contaminated")))
 
 
+@result("mixture_bic_values")
+def mixture_bic_values(t: Tables) -> DataFrame:
+    x = t("documents").where("n_chars > 0").select(F.ln("n_chars").alias("log_chars"))
+    return M.mixture_rows(t.spark, M.fit_mixtures(x, "log_chars", ks=(1, 2, 3), n_init=5))
+
+
 @query("mixture_bic", sql="""
 WITH x AS (SELECT ln(n_chars) AS v FROM documents WHERE n_chars > 0), m AS (SELECT count(*) AS n, var_pop(v) AS s FROM x)
 SELECT k, CAST(k AS BIGINT) AS components, k > 1 AS below_one_component, round(n * (ln(2 * pi() * s) + 1) + 2 * ln(n), 4) AS bic_of_one, 1.0::DOUBLE AS total_weight
 FROM m, (SELECT unnest([1, 2, 3])::INTEGER AS k)
 """)
 def mixture_bic(t: Tables) -> DataFrame:
-    x = t("documents").where("n_chars > 0").select(F.ln("n_chars").alias("log_chars"))
-    found = M.mixture_rows(t.spark, M.fit_mixtures(x, "log_chars", ks=(1, 2, 3), n_init=5))
+    found = mixture_bic_values(t)
     one = found.where("k = 1").agg(F.max("bic")).scalar()
     return found.groupBy("k").agg(row_count().alias("components"), F.max("bic").alias("bic"), F.sum("weight").alias("w")).select(
         "k", "components", (F.col("bic") < one).alias("below_one_component"), F.round(one, 4).alias("bic_of_one"), F.round("w", 6).alias("total_weight"))
 
 
-@query("mixture_fit", sql="SELECT doc_id, true AS flagged_only_above_middle FROM documents")
-def mixture_fit(t: Tables) -> DataFrame:
+@result("mixture_fit_values")
+def mixture_fit_values(t: Tables) -> DataFrame:
     x = t("documents").select("doc_id", F.ln("n_chars").alias("log_chars"))
     model = M.fit_mixtures(x, "log_chars", ks=(2,), n_init=5)[0]
-    middle = x.agg(F.percentile_approx("log_chars", 0.25)).scalar()
-    flag = M.is_contaminated("log_chars", model)
-    return x.select("doc_id", (~flag | (F.col("log_chars") > middle)).alias("flagged_only_above_middle"))
+    return x.select("doc_id", "log_chars", M.high_component_posterior("log_chars", *model.components).alias("posterior"),
+                    M.is_contaminated("log_chars", model).alias("dq_contaminated"))
+
+
+@query("mixture_fit", sql="SELECT doc_id, true AS flagged_only_above_middle FROM documents")
+def mixture_fit(t: Tables) -> DataFrame:
+    found = mixture_fit_values(t)
+    middle = found.agg(F.percentile_approx("log_chars", 0.25)).scalar()
+    return found.select("doc_id", (~F.col("dq_contaminated") | (F.col("log_chars") > middle)).alias("flagged_only_above_middle"))
 
 
 @query("tail_excess_lognormal", sql=f"""

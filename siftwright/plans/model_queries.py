@@ -18,7 +18,7 @@ from ..sources import sinks
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import Tables
 from .feature_queries import METRICS, SEGMENTS, customer_features
-from .registry import query
+from .registry import query, result
 
 _NUMERIC = [
     "supply_imputed", "supply_missing", "is_machinery", "tenure_months", "start_year", "started_in_window",
@@ -62,58 +62,77 @@ def _inside(c: str) -> F.Column:
     return (F.col(c) > 0) & (F.col(c) < 1)
 
 
-def _scores(t: Tables) -> DataFrame:
+@result("oof_scores_values")
+def oof_scores_values(t: Tables) -> DataFrame:
     return L.oof_scores(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, k=5)
 
 
 @query("oof_scores", sql=f"SELECT o_custkey, label, fold, true AS inside FROM {_FOLDED}")
 def oof_scores(t: Tables) -> DataFrame:
-    return _scores(t).select("o_custkey", F.col("label").cast("int").alias("label"), "fold", _inside("score").alias("inside"))
+    return oof_scores_values(t).select("o_custkey", F.col("label").cast("int").alias("label"), "fold", _inside("score").alias("inside"))
 
 
-@query("model_comparison", sql=f"""
-SELECT unnest(['boosting', 'forest', 'logistic', 'logistic balanced', 'no-skill']) AS model, n, positives, true AS near_half, true AS brier_in_range, CAST(1 AS BIGINT) AS n_best
-FROM {_TOTALS}
-""")
-def model_comparison(t: Tables) -> DataFrame:
+@result("model_comparison_values")
+def model_comparison_values(t: Tables) -> DataFrame:
     m = customer_matrix(t)
     scores = L.oof_scores(
         m, _estimators(), k=5, weights={"w_balanced": lambda d: L.balanced_weight(d, "label")}, weighted={"logistic balanced": "w_balanced"})
     folded = L.stratified_folds(m.data.select(m.key, "label"), m.key, "label", 5)
     plain = L.base_rate_scores(folded, m.key, "label").select(F.lit("no-skill").alias("model"), m.key, "label", "fold", "score")
-    table = materialize(L.model_comparison(union_all([scores, plain])), "comparison")
+    return materialize(L.model_comparison(union_all([scores, plain])), "comparison")
+
+
+@query("model_comparison", sql=f"""
+SELECT unnest(['boosting', 'forest', 'logistic', 'logistic balanced', 'no-skill']) AS model, n, positives, true AS near_half, true AS brier_in_range, CAST(1 AS BIGINT) AS n_best
+FROM {_TOTALS}
+""")
+def model_comparison(t: Tables) -> DataFrame:
+    table = model_comparison_values(t)
     best = table.where("best and model <> 'no-skill'").agg(F.count(F.lit(1))).scalar()
     # the label does not depend on the features
     return table.select("model", "n", "positives", (F.abs(F.col("roc_auc") - 0.5) < 0.2).alias("near_half"),
                         F.col("brier").between(0, 0.5).alias("brier_in_range"), best.alias("n_best"))
 
 
+@result("label_signal_none_values")
+def label_signal_none_values(t: Tables) -> DataFrame:
+    return L.label_signal(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, draws=20, k=5)
+
+
 @query("label_signal_none", sql=f"SELECT 'logistic' AS model, n, positives, 'logistic' AS null_model, true AS band_around_half, false AS signal FROM {_TOTALS}")
 def label_signal_none(t: Tables) -> DataFrame:
-    found = L.label_signal(customer_matrix(t), {"logistic": lambda n: L.logistic(n)}, draws=20, k=5)
-    return found.select("model", "n", "positives", "null_model", ((F.col("null_min") < 0.5) & (F.col("null_max") > 0.5)).alias("band_around_half"), "signal")
+    return label_signal_none_values(t).select("model", "n", "positives", "null_model", ((F.col("null_min") < 0.5) & (F.col("null_max") > 0.5)).alias("band_around_half"), "signal")
+
+
+@result("label_signal_control_values")
+def label_signal_control_values(t: Tables) -> DataFrame:
+    return L.label_signal(
+        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(500)}, draws=20, k=5)
 
 
 @query("label_signal_control", sql="""
 SELECT unnest(['forest', 'logistic']) AS model, count(*) AS n, count(*) FILTER (WHERE label = 0) AS positives, true AS signal FROM embeddings
 """)
 def label_signal_control(t: Tables) -> DataFrame:
-    found = L.label_signal(
-        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(500)}, draws=20, k=5)
-    return found.select("model", "n", "positives", "signal")
+    return label_signal_control_values(t).select("model", "n", "positives", "signal")
 
 
-@query("cost_weighted_comparison", sql="""
-SELECT unnest(['weights 1 to 1', 'weights 5 to 1']) AS model, true AS tau_in_range, true AS at_most_nobody, true AS at_most_everybody
-""")
-def cost_weighted_comparison(t: Tables) -> DataFrame:
+@result("cost_weighted_comparison_values")
+def cost_weighted_comparison_values(t: Tables) -> DataFrame:
     m = customer_matrix(t)
     scores = L.oof_scores(
         m, {"weights 1 to 1": lambda n: L.logistic(n), "weights 5 to 1": lambda n: L.logistic(n, weight="w_cost")},
         k=5, weights={"w_cost": lambda d: L.cost_weight("label")}, weighted={"weights 5 to 1": "w_cost"})
     # both ends of the grid stand for the fixed policies: an offer to everybody and to nobody
-    found = E.compare_variants(scores, "model", "score", "label", [0.0, *[0.01 + i * 0.98 / 199 for i in range(200)], 1.01])
-    rows = m.data.agg(F.count(F.lit(1))).scalar()
+    return E.compare_variants(scores, "model", "score", "label", [0.0, *[0.01 + i * 0.98 / 199 for i in range(200)], 1.01])
+
+
+@query("cost_weighted_comparison", sql="""
+SELECT unnest(['weights 1 to 1', 'weights 5 to 1']) AS model, true AS tau_in_range, true AS at_most_nobody, true AS at_most_everybody
+""")
+def cost_weighted_comparison(t: Tables) -> DataFrame:
+    found = cost_weighted_comparison_values(t)
+    rows = customer_features(t).where("label is not null").agg(F.count(F.lit(1))).scalar()
     return found.select("model", F.col("best_tau").between(0, 1.01).alias("tau_in_range"), (F.col("saving_vs_nobody") >= 0).alias("at_most_nobody"),
                         (F.col("min_cost") <= rows).alias("at_most_everybody"))
 
@@ -121,10 +140,14 @@ def cost_weighted_comparison(t: Tables) -> DataFrame:
 _FEATURES = "(SELECT 'e' || i AS feature FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i))"
 
 
+@result("permutation_importance_values")
+def permutation_importance_values(t: Tables) -> DataFrame:
+    return L.cross_importance(embedding_matrix(t), lambda n: L.forest(100), k=5, repeats=5)
+
+
 @query("permutation_importance", sql=f"SELECT feature, true AS in_range FROM {_FEATURES}")
 def permutation_importance(t: Tables) -> DataFrame:
-    found = L.cross_importance(embedding_matrix(t), lambda n: L.forest(100), k=5, repeats=5)
-    return found.select("feature", (F.abs("perm_importance") <= 1).alias("in_range"))
+    return permutation_importance_values(t).select("feature", (F.abs("perm_importance") <= 1).alias("in_range"))
 
 
 _SHARES = "SELECT count(*) AS features, 1.0::DOUBLE AS total_share, true AS none_negative FROM {}"
@@ -135,27 +158,42 @@ def _share_check(shares: DataFrame) -> DataFrame:
                       F.bool_and(F.col("share") >= 0).alias("none_negative"))
 
 
-@query("sampled_shapley", sql=_SHARES.format(_FEATURES))
-def sampled_shapley(t: Tables) -> DataFrame:
+@result("sampled_shapley_values")
+def sampled_shapley_values(t: Tables) -> DataFrame:
     m = embedding_matrix(t)
     data = materialize(m.data, "embedding-matrix")
     model = L.forest(100).fit(data)
-    return _share_check(L.sampled_shapley(model, data, m.key, m.names, repeats=4))
+    return L.sampled_shapley(model, data, m.key, m.names, repeats=4)
 
 
-@query("logistic_attribution", sql="SELECT 1.0::DOUBLE AS total_share, true AS none_negative, true AS all_features")
-def logistic_attribution(t: Tables) -> DataFrame:
+@query("sampled_shapley", sql=_SHARES.format(_FEATURES))
+def sampled_shapley(t: Tables) -> DataFrame:
+    return _share_check(sampled_shapley_values(t))
+
+
+def _attribution(t: Tables) -> tuple[L.Matrix, DataFrame]:
     m = customer_matrix(t)
     data = materialize(m.data, "customer-matrix")
     scaler, lr = L.logistic(data.count()).fit(data).stages
     # coefficients act on standardised values; divide by the sd to act on raw ones
     weights = {c: float(w / s) if s > 0 else 0.0 for c, w, s in zip(m.names, lr.coefficients, scaler.std)}
-    shares = _share_check(G.attribution_shares(data, weights))
+    return m, G.attribution_shares(data, weights)
+
+
+@result("logistic_attribution_values")
+def logistic_attribution_values(t: Tables) -> DataFrame:
+    return _attribution(t)[1]
+
+
+@query("logistic_attribution", sql="SELECT 1.0::DOUBLE AS total_share, true AS none_negative, true AS all_features")
+def logistic_attribution(t: Tables) -> DataFrame:
+    m, found = _attribution(t)
+    shares = _share_check(found)
     return shares.select("total_share", "none_negative", (F.col("features") == len(m.names)).alias("all_features"))
 
 
 @query("score_sink", sql=f"SELECT o_custkey, true AS inside FROM {_CUSTOMERS}")
 def score_sink(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "scores")
-    sinks.write_scores(_scores(t), path, key="o_custkey", score="score")
+    sinks.write_scores(oof_scores_values(t), path, key="o_custkey", score="score")
     return sinks.assert_unique_key(t.spark, path, ["o_custkey"]).select("o_custkey", _inside("score").alias("inside"))

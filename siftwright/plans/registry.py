@@ -11,6 +11,8 @@ from ..sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+# whole results of fits, which no SQL states; QUERIES has the facts about them that SQL can state
+RESULTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -30,6 +32,21 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def result(name: str):
+    """Register a function of :class:`Tables` that has no SQL."""
+    def wrap(fn: Callable[[Tables], DataFrame]):
+        if name in RESULTS or name in QUERIES:
+            raise ValueError(f"result {name} is registered twice")
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(Tables(spark, folder))
+
+        run.__name__ = name
+        RESULTS[name] = run
+        return fn
+    return wrap
+
+
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles rounded for comparison with another engine's last bits; ``special`` per column."""
     return df.select(*[
