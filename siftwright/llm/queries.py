@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from . import html_text, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity, url_rules
+from . import html_text, jaccard_join, lexical_search, mixing, packing, periodic_runs, quality, sharding, simhash, suffix_dedup, topk, toxicity, url_rules
 from .text import count_words, utf8_size, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,40 @@ def op7_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(table(spark, folder, "pages").select("page_id", "html"), "html").select(
         "page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+_SEARCH_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SEARCH_TERMS} AS a FROM documents),
+c AS (SELECT count(*) FILTER (len(a) > 0) AS docs, sum(len(a))::BIGINT AS terms FROM d),
+p AS (SELECT r, doc_id, len(a) AS n, unnest(a) AS term FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+i AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_SEARCH_TERMS}) AS a FROM benchmark),
+q AS (SELECT item, item_id, unnest(a) AS term FROM i),
+w AS (SELECT item, item_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM q JOIN f USING (term), c),
+s AS (SELECT item, item_id, r, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+      FROM w JOIN t USING (term), c GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+
+@query("op12_lexical_search", _SEARCH_SQL)
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "benchmark").select("item_id", "text"), "item_id", "text",
+                                 table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", 50)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", plant=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                        F.sha2(F.col("runs"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))

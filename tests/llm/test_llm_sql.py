@@ -15,5 +15,5 @@ def test_entry_lists_all():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in names and set(e.oracle_sql()) <= set(names)
