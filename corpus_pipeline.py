@@ -28,21 +28,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; rows without an id stay."""
-    groups = jaccard_join.near_duplicates(docs, "doc_id", "text")
-    kept = docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    # rows that share the group's smallest id
-    again = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    again = materialize(again, "repeated-ids")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One row of each group of near duplicates: the one of smallest id, rows without an id last.
+
+    Decided row by row, so rows that share an id but not the text are documents of their own.
+    """
+    gone = jaccard_join.surplus_rows(docs, "doc_id", "text")
+    named = docs.withColumn("_row_key", jaccard_join.row_key(F.col("doc_id"), F.col("text")))
+    kept = named.join(gone.where("not stays").select(F.col("row_key").alias("_row_key")), "_row_key", "left_anti")
+    again = gone.where("stays").select(F.col("row_key").alias("_row_key"))
+    if not again.isEmpty():  # rows alike in id and text
+        kept = kept.join(again, "_row_key", "left_anti").unionByName(kept.join(again, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
+    return kept.select(*docs.columns)
+
+
+#: A passage of over 50 words repeats if 51 words do, however short they are.
+PASSAGE_WORDS, PASSAGE_CORE = 51, 13
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes and more that occur elsewhere too; halves of characters at the cuts go with them."""
-    cleaned = suffix_dedup.remove_repeats(_carried(docs), "text", decode=True)
+    """Texts without the strings of PASSAGE_WORDS words and more that occur elsewhere too, in the same text or in another."""
+    cleaned = suffix_dedup.remove_repeats(_carried(docs), "text", width=PASSAGE_WORDS, core=PASSAGE_CORE, unit="word", decode=True)
     return cleaned.select(*_restored(docs, text=F.col("kept"), n_chars=F.length("kept").cast("long")))
 
 

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -388,7 +388,7 @@ def _hot_edges(hot_rows: DataFrame, classes: DataFrame) -> DataFrame:
     tiles = materialize(tiled.groupBy("word", "tile").agg(
         F.collect_list(F.struct("set_id", "root", "n", "sketch")).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")), "tiles")
 
-    def parts(rows: F.Column, split: F.Column) -> list[F.Column]:
+    def parts(rows: Column, split: Column) -> list[Column]:
         named = {"ids": "set_id", "roots": "root", "sizes": "n", "sketches": "sketch"}
         return [*[rows.getField(c).alias(k) for k, c in named.items()], split.cast("int").alias("split")]
 
@@ -423,11 +423,37 @@ def near_duplicates(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> Da
     are not read. ``hot`` bounds work for each word, not results. The result is a stored table.
     """
     ship(df.sparkSession)
-    return settle(lambda: _near_duplicates(df, key, text, hot), "near-duplicates")
+    return settle(lambda: _near_duplicates(df, key, text, hot).select(
+        F.col("doc_id").alias(key), "n_shingles", "component_id"), "near-duplicates")
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """Names a row by key and text together: rows that share a key but not the text have different names."""
+    return F.xxhash64(key, whole(text))
+
+
+def surplus_rows(df: DataFrame, key: str, text: str, *, hot: int = HOT) -> DataFrame:
+    """``row_key`` of each row that goes if one row of each group of linked rows stays, and ``times``.
+
+    Of a group the row of smallest key stays, null keys last; among rows of that key it is the one
+    of smallest :func:`row_key`. The name of a row that stays comes out only if several rows alike
+    in key and text bear it; ``stays`` is true then and one of them has to be kept. Rows without a
+    word are linked with nothing and never come out. The result is a stored table.
+    """
+    ship(df.sparkSession)
+
+    def make() -> DataFrame:
+        rows = materialize(_near_duplicates(df, key, text, hot).where("root is not null").groupBy("root", "row_key", "component_id", "doc_id")
+                           .agg(F.count(F.lit(1)).alias("times")), "named-rows")
+        first = materialize(rows.where("doc_id <=> component_id").groupBy("root").agg(F.min("row_key").alias("first")), "first-rows")
+        return rows.join(first, "root").withColumn("stays", F.col("row_key") == F.col("first")).where("not stays or times > 1").select("row_key", "stays", "times")
+    return settle(make, "surplus-rows")
 
 
 def _near_duplicates(df: DataFrame, key: str, text: str, hot: int) -> DataFrame:
-    rows = df.select(F.col(key).alias("doc_id"), whole(F.col(text)).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    """``doc_id``, ``n_shingles``, ``component_id``, ``row_key`` and ``root`` (null without a word) of every row."""
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).select(
+        "doc_id", whole(F.col("text")).alias("text"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
     kind = df.schema[key].dataType.simpleString()
     members = materialize(rows.mapInPandas(_members, f"doc_id {kind}, row_key long, n long, set_id long, sketch binary"), "members")
     classes = materialize(members.where("set_id is not null").groupBy("set_id").agg(
@@ -458,5 +484,5 @@ def _near_duplicates(df: DataFrame, key: str, text: str, hot: int) -> DataFrame:
     placed = members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = materialize(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return placed.join(least, "root", "left").select(
-        F.col("doc_id").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key", "root")

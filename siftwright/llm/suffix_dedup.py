@@ -1,4 +1,4 @@
-"""Removal of every byte that lies in a string of ``width`` bytes which also starts elsewhere.
+"""Removal of everything that lies in a string of ``width`` bytes, or words, which also starts elsewhere.
 
 Whole suffixes of all documents cannot be sorted in one place, so the collection is first dealt
 into small parts that provably hold all matches:
@@ -19,29 +19,44 @@ A round reads and rewrites three sequences front to back (order, common prefixes
 part has a bounded number of pieces, so they are arrays in the task's memory where a
 single-machine construction has files. Anchors with more distinct pieces than that (a passage
 in very many contexts) are settled exactly by counting digests of their single windows.
+
+The same steps run over words instead of bytes: a symbol is then a word's 64-bit hash, and blanks
+between words do not count.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, settle
 from .ship import ship
-from .text import whole
+from .text import count_words, whole
 
 WIDTH = 400
 CORE = 100
 PART_PIECES = 20_000
 _CHUNK = 1 << 18
 _PLACE = np.uint64((1 << 21) - 1)
-_PAD = 256
+_PAD = -1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes of a symbol by unit.
+_SIZE = {"byte": 1, "word": 8}
+
+
+def symbols_of(text: str, unit: str) -> np.ndarray:
+    """The text as an array: bytes as they are, words as hashes."""
+    if unit == "byte":
+        return np.frombuffer(text.encode(), np.uint8)
+    return np.array([xxhash.xxh64_intdigest(w) for w in text.encode().split()], np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -78,7 +93,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def anchor_runs(data: np.ndarray, bounds: list[tuple[int, int]], width: int, core: int) -> tuple[np.ndarray, ...]:
     """First and last window, anchor place and anchor hash of each run of windows with one anchor.
 
-    ``data`` is at most _CHUNK bytes; ``bounds`` are the (start, end) of the texts in it, and
+    ``data`` is at most _CHUNK symbols; ``bounds`` are the (start, end) of the texts in it, and
     windows lie inside one text.
     """
     none = np.empty(0, np.int64)
@@ -87,7 +102,7 @@ def anchor_runs(data: np.ndarray, bounds: list[tuple[int, int]], width: int, cor
         return none, none, none, none
     symbols, powers, inverse = _powers()
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(symbols[data] * powers[:n], out=total[1:])
+    np.cumsum((symbols[data] if data.dtype == np.uint8 else data) * powers[:n], out=total[1:])
     h = _mix((total[core:] - total[:-core]) * inverse[: n - core + 1])
     least = sliding_min((h & ~_PLACE) | np.arange(len(h), dtype=np.uint64), width - core + 1)
     valid = np.zeros(len(least), bool)
@@ -100,9 +115,9 @@ def anchor_runs(data: np.ndarray, bounds: list[tuple[int, int]], width: int, cor
     return lo, hi, at, h[at].view(np.int64)
 
 
-def _chunks(texts: list[bytes], width: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (text number, offset, bytes) of at most _CHUNK bytes together; long texts overlap by width - 1."""
-    held: list[tuple[int, int, bytes]] = []
+def _chunks(texts: list[np.ndarray], width: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Lists of (text number, offset, symbols) of at most _CHUNK symbols together; long texts overlap by width - 1."""
+    held: list[tuple[int, int, np.ndarray]] = []
     size = 0
     for i, text in enumerate(texts):
         if len(text) < width:
@@ -122,32 +137,35 @@ def _digest(piece: bytes, place: int) -> int:
     return int.from_bytes(hashlib.blake2b(piece, digest_size=8, salt=place.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
-def _pieces(rows: DataFrame, width: int, core: int, *, digests: bool) -> DataFrame:
+def _pieces(rows: DataFrame, width: int, core: int, unit: str, *, digests: bool) -> DataFrame:
     """The pieces of every distinct text of a task; of copies in other tasks there are equal rows."""
+    size = _SIZE[unit]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
             keys: list[bytes] = []
-            texts: list[bytes] = []
+            texts: list[np.ndarray] = []
             for t, text in zip(batch["t"], batch["text"]):
                 if t not in seen:
                     seen.add(t)
                     keys.append(t)
-                    texts.append(text.encode())
+                    texts.append(symbols_of(text, unit))
             heads = np.array([int.from_bytes(k[:8], "little") for k in keys], np.uint64)
             for held in _chunks(texts, width):
-                data = b"".join(x[2] for x in held)
+                data = np.concatenate([x[2] for x in held])
                 ends = np.cumsum([len(x[2]) for x in held])
                 starts = ends - [len(x[2]) for x in held]
-                lo, hi, at, anchor = anchor_runs(np.frombuffer(data, np.uint8), list(zip(starts.tolist(), ends.tolist())), width, core)
+                lo, hi, at, anchor = anchor_runs(data, list(zip(starts.tolist(), ends.tolist())), width, core)
                 of = np.searchsorted(ends, lo, side="right")
                 text_no = np.array([x[0] for x in held])[of]
                 shift = np.array([x[1] for x in held])[of] - starts[of]
                 where = _mix(heads[text_no] + (lo + shift).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
                 out = {"anchor": anchor, "spot": where}
                 if digests:
+                    raw = data.tobytes()
                     out |= {
-                        "piece": [_digest(data[a : b + width], c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist())],
+                        "piece": [_digest(raw[a * size : (b + width) * size], c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist())],
                         "t": [keys[i] for i in text_no.tolist()], "lo": lo + shift, "windows": hi - lo + 1, "lead": at - lo,
                     }
                 yield pd.DataFrame(out)
@@ -156,10 +174,10 @@ def _pieces(rows: DataFrame, width: int, core: int, *, digests: bool) -> DataFra
     return rows.select("t", "text").mapInPandas(run, schema)
 
 
-def column_rounds(pieces: list[bytes], leads: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
+def column_rounds(pieces: list[np.ndarray], leads: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
     """Which windows of each piece also occur in another piece, as a boolean matrix (piece, window).
 
-    Pieces are aligned at ``leads`` and differ from each other. Round by round, from the last
+    Pieces are arrays of one signed type, without negative symbols, aligned at ``leads`` and differ from each other. Round by round, from the last
     column to the first, the symbols of one column are inserted: ``order`` lists the pieces by
     their suffix from this column on, ``prefix[i]`` is the common prefix of the i-th suffix
     with the one before it.
@@ -170,9 +188,9 @@ def column_rounds(pieces: list[bytes], leads: np.ndarray, windows: np.ndarray, w
         return found
     left = int(leads.max())
     right = max(len(p) - int(a) for p, a in zip(pieces, leads))
-    matrix = np.full((left + right, n), _PAD, np.int16)
+    matrix = np.full((left + right, n), _PAD, pieces[0].dtype)
     for i, (piece, lead) in enumerate(zip(pieces, leads.tolist())):
-        matrix[left - lead : left - lead + len(piece), i] = np.frombuffer(piece, np.uint8)
+        matrix[left - lead : left - lead + len(piece), i] = piece
     first = left - leads
     order = np.arange(n)
     prefix = np.zeros(n + 1, np.int32)
@@ -204,11 +222,20 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _settle(width: int):
+def _numbered(blobs: list[bytes], unit: str) -> list[np.ndarray]:
+    """The symbols as small numbers from 0, alike where the symbols are."""
+    if unit == "byte":
+        return [np.frombuffer(b, np.uint8).astype(np.int16) for b in blobs]
+    arrays = [np.frombuffer(b, np.uint64) for b in blobs]
+    numbers = np.unique(np.concatenate(arrays), return_inverse=True)[1].astype(np.int32)
+    return np.split(numbers, np.cumsum([len(a) for a in arrays])[:-1])
+
+
+def _settle(width: int, unit: str):
     """Function for one part: repeated runs of windows of the pieces that are not repeated as a whole."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["anchor", "piece"]).sort_values(["anchor", "piece"], ignore_index=True)
-        found = column_rounds(group["bytes"].tolist(), group["lead"].to_numpy(), group["windows"].to_numpy(), width)
+        found = column_rounds(_numbered(group["bytes"].tolist(), unit), group["lead"].to_numpy(), group["windows"].to_numpy(), width)
         out = [
             (a, p, lo, hi)
             for a, p, twice, flags in zip(group["anchor"].tolist(), group["piece"].tolist(), group["twice"].tolist(), found) if not twice
@@ -218,11 +245,13 @@ def _settle(width: int):
     return run
 
 
-def _single_windows(width: int):
+def _single_windows(width: int, unit: str):
+    size = _SIZE[unit]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for anchor, piece, twice, windows, data in zip(*[batch[c].tolist() for c in ("anchor", "piece", "twice", "windows", "bytes")]):
-                digests = [hashlib.blake2b(data[i : i + width], digest_size=16).digest() for i in range(windows)]
+                digests = [hashlib.blake2b(data[i * size : (i + width) * size], digest_size=16).digest() for i in range(windows)]
                 yield pd.DataFrame({"anchor": anchor, "piece": piece, "twice": twice, "at": range(windows), "digest": digests})
     return run
 
@@ -243,18 +272,19 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
 
 
-def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, part_pieces: int = PART_PIECES) -> DataFrame:
-    """``t`` and ``spans`` (array of start, end) for each text of ``rows`` (t, text) that holds repeated bytes.
+def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, unit: str = "byte", part_pieces: int = PART_PIECES) -> DataFrame:
+    """``t`` and ``spans`` (array of start, end) for each text of ``rows`` (t, text) that holds repeated strings.
 
-    Spans may overlap. ``rows`` holds every document, copies too; a text that occurs twice is
+    Spans count symbols (bytes or words) and may overlap. ``rows`` holds every document, copies too; a text that occurs twice is
     repeated as a whole.
     """
-    long = rows.where(F.octet_length("text") >= width)
+    length = F.octet_length("text").cast("long") if unit == "byte" else count_words(F.col("text"))
+    long = rows.where(F.octet_length("text") >= (width if unit == "byte" else 2 * width - 1)).where(length >= width)
     # small tables that are joined by anchor are stored first: a join right above an aggregation cannot be split on a hot anchor
     twice_anchor = materialize(
-        _pieces(long, width, core, digests=False)
+        _pieces(long, width, core, unit, digests=False)
         .groupBy("anchor").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a <> b").select("anchor"), "anchors")
-    found = materialize(_pieces(long, width, core, digests=True).join(twice_anchor, "anchor", "left_semi"), "pieces")
+    found = materialize(_pieces(long, width, core, unit, digests=True).join(twice_anchor, "anchor", "left_semi"), "pieces")
     distinct = found.groupBy("anchor", "piece").agg(
         (F.min("spot") != F.max("spot")).alias("twice"), F.min(F.struct("t", "lo")).alias("rep"),
         F.min("windows").alias("windows"), F.min("lead").alias("lead"))
@@ -272,8 +302,8 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, par
                 if t in seen:
                     continue
                 seen.add(t)
-                data = text.encode()
-                out = [(x["anchor"], x["piece"], x["twice"], x["windows"], x["lead"], x["n"], data[x["lo"] : x["lo"] + x["windows"] + width - 1])
+                data = symbols_of(text, unit)
+                out = [(x["anchor"], x["piece"], x["twice"], x["windows"], x["lead"], x["n"], data[x["lo"] : x["lo"] + x["windows"] + width - 1].tobytes())
                        for x in asked_of]
                 yield pd.DataFrame(out, columns=["anchor", "piece", "twice", "windows", "lead", "n", "bytes"])
 
@@ -282,9 +312,9 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, par
     parts = max(1, -(-pieces.count() // part_pieces) * 2)
     run_schema = "anchor long, piece long, run_lo long, run_hi long"
     runs = (pieces.where(F.col("n") <= part_pieces).withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts)))
-            .groupBy("part").applyInPandas(_settle(width), run_schema))
+            .groupBy("part").applyInPandas(_settle(width, unit), run_schema))
     single = (pieces.where(F.col("n") > part_pieces).select("anchor", "piece", "twice", "windows", "bytes")
-              .mapInPandas(_single_windows(width), "anchor long, piece long, twice boolean, at long, digest binary"))
+              .mapInPandas(_single_windows(width, unit), "anchor long, piece long, twice boolean, at long, digest binary"))
     again = (single.groupBy("digest").agg(F.min("piece").alias("a"), F.max("piece").alias("b"), F.max("twice").alias("c"))
              .where("a <> b or c").select("digest"))
     runs = runs.unionByName(
@@ -294,27 +324,31 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, par
     spans = (
         found.select("anchor", "piece", "t", "lo").join(runs, ["anchor", "piece"])
         .select("t", (F.col("lo") + F.col("run_lo")).alias("start"), (F.col("lo") + F.col("run_hi") + (width - 1)).alias("end"))
-        .unionByName(long.select("t", F.octet_length("text").alias("end")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("end"))
+        .unionByName(long.select("t", length.alias("end")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("end"))
                      .where("n > 1").select("t", F.lit(0).cast("long").alias("start"), F.col("end").cast("long")))
     )
     return spans.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int = CORE, part_pieces: int = PART_PIECES,
+def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int = CORE, unit: str = "byte", part_pieces: int = PART_PIECES,
                    decode: bool = False) -> DataFrame:
     """``df`` with ``kept`` (binary; with ``decode`` a string without the halves of characters at the cuts), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (array of start, end).
 
     Every byte is removed that lies in a string of ``width`` bytes that also starts anywhere
     else in the table, in the same text too; overlapping starts count. Null texts count as
     empty. Rows of equal text are documents of their own, so both lose everything from
-    ``width`` bytes on. Columns of ``df`` named like results are replaced; no row is lost.
+    ``width`` bytes on. With ``unit`` "word" the same is said of strings of ``width`` words (runs of
+    other characters than ASCII white space): they go from the first byte of a run of such words to
+    its last, whatever blanks are in it. Columns of ``df`` named like results are replaced; no row is lost.
     """
+    if unit not in _SIZE:
+        raise ValueError(f"unit {unit!r}: byte or word")
     ship(df.sparkSession)
     made = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
     rest = [c for c in df.columns if c not in made]
     rows = df.select(*rest, whole(F.col(text)).alias("_text")).withColumn("_t", text_key(F.col("_text")))
     texts = rows.select(F.col("_t").alias("t"), F.col("_text").alias("text"))
-    spans = settle(lambda: repeated_spans(texts, width=width, core=core, part_pieces=part_pieces), "spans")
+    spans = settle(lambda: repeated_spans(texts, width=width, core=core, unit=unit, part_pieces=part_pieces), "spans")
     joined = rows.join(spans, F.col("_t") == F.col("t"), "left")
 
     @F.pandas_udf(f"kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>")
@@ -322,7 +356,13 @@ def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int =
         out = []
         for text_, spans_ in zip(texts, found):
             data = text_.encode()
-            cuts = _covered([(s["start"], s["end"]) for s in spans_], len(data)) if spans_ is not None else []
+            cuts = []
+            if spans_ is not None:
+                cuts = [(s["start"], s["end"]) for s in spans_]
+                if unit == "word":
+                    places = [m.span() for m in _WORD.finditer(data)]
+                    cuts = [(places[a][0], places[b - 1][1]) for a, b in _covered(cuts, len(places))]
+                cuts = _covered(cuts, len(data))
             parts, at = [], 0
             for a, b in cuts:
                 parts.append(data[at:a])

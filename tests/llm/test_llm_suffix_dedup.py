@@ -68,3 +68,50 @@ def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     for w in (1, 2, 7, 200):
         assert suffix_dedup.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
+
+
+def brute_words(texts, width):
+    import re
+
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    data = [(t or "").encode() for t in texts]
+    words = [[d[a:b] for a, b in p] for d, p in zip(data, places)]
+    seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    out = []
+    for d, p, w in zip(data, places, words):
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone[i : i + width] = [True] * width
+        kept, n, i = d, 0, len(w)
+        while i > 0:
+            j = i
+            while i > 0 and gone[i - 1]:
+                i -= 1
+            if j > i:
+                kept, n = kept[: p[i][0]] + kept[p[j - 1][1] :], n + 1
+            i -= 1
+        out.append((len(d), len(d) - len(kept), n, kept))
+    return out
+
+
+@pytest.mark.parametrize("part_pieces", [2, 20_000])
+def test_words_against_brute_force(spark, part_pieces):
+    rnd = random.Random(part_pieces + 1)
+    base = [" ".join(rnd.choice("a b cé d".split()) for _ in range(rnd.randint(0, 40))) for _ in range(20)]
+    join = lambda *x: rnd.choice([" ", "\n", " \t"]).join(x)
+    texts = [None, "", "a " * 60, "a\n" * 60, "a " * 9, "a b " * 12] + [
+        join(rnd.choice(base), rnd.choice(base)[rnd.randint(0, 20):], f"u{rnd.randrange(5)}", rnd.choice(base)[: rnd.randint(0, 60)]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(5)
+    assert result(df, width=9, core=3, unit="word", part_pieces=part_pieces) == brute_words(texts, 9)
+
+
+def test_words_of_documents(spark, folder):
+    df = spark.read.parquet(f"{folder}/documents.parquet").withColumnRenamed("doc_id", "n")
+    texts = [r.text for r in df.orderBy("n").collect()]
+    assert result(df, width=51, core=13, unit="word") == brute_words(texts, 51)
+
+
+def test_unknown_unit(none):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(none, "text", unit="line")
