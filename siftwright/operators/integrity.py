@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_month_end, normalised, swap_month_day
@@ -219,6 +219,26 @@ def grid_missing_cells(df: DataFrame, entity: str, period: Column | str, unit: s
     return own.select("entity", F.explode(F.array_except(every, F.col("own"))).alias("period"))
 
 
+def grid_missing_runs(df: DataFrame, entity: str, period: Column | str, unit: str = "month") -> DataFrame:
+    """Runs of absent cells of the grid: (entity, first and last absent period, number of them).
+
+    Periods that occur anywhere are numbered once; an entity's present numbers in order leave a
+    run wherever two neighbours are more than one apart, and before the first and after the last.
+    Rows of the result are gaps, not cells; an entity's own numbers are no more than the calendar.
+    """
+    p = F.date_trunc(unit, F.col(period) if isinstance(period, str) else period).cast("date")
+    cells = materialize(df.select(F.col(entity).alias("entity"), p.alias("period")).where("period is not null").distinct(), "grid-cells")
+    every = cells.select("period").distinct().agg(F.array_sort(F.collect_list("period"))).scalar()
+    numbered = cells.withColumn("__all", every).select("entity", F.array_position("__all", F.col("period")).cast("int").alias("at"), F.size("__all").alias("last"))
+    turn = Window.partitionBy("entity").orderBy("at")
+    edges = numbered.select("entity", "at", "last", F.coalesce(F.lag("at").over(turn), F.lit(0)).alias("before"), F.lead("at").over(turn).isNull().alias("ends"))
+    inner = edges.where("at - before > 1").select("entity", (F.col("before") + 1).alias("lo"), (F.col("at") - 1).alias("hi"))
+    outer = edges.where("ends and at < last").select("entity", (F.col("at") + 1).alias("lo"), F.col("last").alias("hi"))
+    return inner.unionByName(outer).withColumn("__all", every).select(
+        "entity", F.get("__all", F.col("lo") - 1).alias("first_period"), F.get("__all", F.col("hi") - 1).alias("last_period"),
+        (F.col("hi") - F.col("lo") + 1).cast("bigint").alias("n_periods"))
+
+
 def grid_completeness(df: DataFrame, entity: str, period: Column | str, unit: str = "month") -> DataFrame:
     """Entities, periods, cells expected and present, and rows beyond one per cell."""
     p = F.date_trunc(unit, F.col(period) if isinstance(period, str) else period).cast("date")

@@ -100,15 +100,15 @@ def design_matrix(df: DataFrame, key: str, label: str, numeric: Sequence[str], c
     return Matrix(assembled.select(key, label, *names, "features"), key, label, names)
 
 
-def logistic(rows: float, *, c: float = 1.0, weight: str | None = None) -> Estimator:
+def logistic(rows: float, *, c: float = 1.0, weight: str | None = None, tol: float = 1e-6) -> Estimator:
     """L2 logistic regression on standardised features; the penalty matches inverse strength ``c``.
 
-    ``rows`` is the number of training rows (or their total weight).
+    ``rows`` is the number of training rows (or their total weight); ``tol`` ends the fit.
     """
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     lr = LogisticRegression(
         featuresCol="scaled", labelCol="label", regParam=1.0 / (c * max(rows, 1.0)), elasticNetParam=0.0,
-        standardization=False, maxIter=200)
+        standardization=False, maxIter=200, tol=tol)
     if weight:
         lr = lr.setWeightCol(weight)
     return Pipeline(stages=[scaler, lr])
@@ -136,6 +136,46 @@ def cost_weight(label: str, loss: float = 5.0, offer: float = 1.0) -> Column:
     return F.when(F.col(label) == 1, F.lit(float(loss))).otherwise(F.lit(float(offer)))
 
 
+def logistic_parameters(matrix: Matrix, *, c: float = 1.0, weight: Callable[[DataFrame], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A fit over all rows as a stored table (parameter, center, scale, coefficient), and the rows it was fitted on.
+
+    Coefficients act on (x - center) / scale; the intercept's row has center 0 and scale 1. The
+    rows carry ``label``, ``w`` and the columns named in ``matrix.names``.
+    """
+    rows = matrix.data.withColumn("label", F.col(matrix.label))
+    rows = materialize(rows.withColumn("w", weight(rows) if weight else F.lit(1.0)), "fit-rows")
+    total = rows.agg(F.sum("w")).first()[0] or 0.0
+    scaler, lr = logistic(float(total), c=c, weight="w", tol=1e-12).fit(rows).stages
+    found = [(n, float(m), float(s), float(b)) for n, m, s, b in zip(matrix.names, scaler.mean, scaler.std, lr.coefficients)]
+    schema = "parameter string, center double, scale double, coefficient double"
+    table = rows.sparkSession.createDataFrame([*found, ("intercept", 0.0, 1.0, float(lr.intercept))], schema)
+    return materialize(table, "coefficients"), rows
+
+
+def logistic_gradient(rows: DataFrame, coefficients: DataFrame, *, c: float = 1.0) -> DataFrame:
+    """Gradient of the penalised log-likelihood at stored ``coefficients``, per unit of weight: zero in each row at the optimum.
+
+    One aggregate over ``rows`` (label, w and a column for each parameter but the intercept), with
+    no part of the fit in it. ``calibration`` is the weighted mean score, which at the optimum is
+    the weighted share of positives. A feature without spread has no term.
+    """
+    stored = coefficients.collect()
+    slopes = [r for r in stored if r["parameter"] != "intercept"]
+    start = next(r["coefficient"] for r in stored if r["parameter"] == "intercept")
+    scaled = {r["parameter"]: (F.col(r["parameter"]).cast("double") - r["center"]) / r["scale"] if r["scale"] > 0 else F.lit(0.0) for r in slopes}
+    score = F.lit(start)
+    for r in slopes:
+        score = score + scaled[r["parameter"]] * r["coefficient"]
+    left = rows.select("w", "label", (1 / (1 + F.exp(-score))).alias("p"), *[x.alias(f"z_{n}") for n, x in scaled.items()])
+    pull = F.col("w") * (F.col("label") - F.col("p"))
+    sums = left.agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("p")).alias("scored"), F.sum(pull).alias("intercept"),
+                    *[F.sum(pull * F.col(f"z_{n}")).alias(f"g_{n}") for n in scaled])
+    parts = [F.struct(F.lit("intercept").alias("parameter"), F.col("intercept").alias("g"))]
+    parts += [F.struct(F.lit(r["parameter"]).alias("parameter"), (F.col(f"g_{r['parameter']}") - r["coefficient"] / c).alias("g")) for r in slopes]
+    return sums.select("total", "scored", F.explode(F.array(*parts)).alias("r")).select(
+        "r.parameter", F.try_divide("r.g", "total").alias("gradient"), F.try_divide("scored", "total").alias("calibration"))
+
+
 def positive_probability(model: Model, rows: DataFrame, *keep: str) -> DataFrame:
     scored = model.transform(rows)
     return scored.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

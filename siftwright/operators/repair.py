@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detectors import impute_median, null_out
-from .integrity import flag_before_start, keep_first
+from .integrity import classify_duplicates, flag_before_start, keep_first
 from .profile import row_count
 
 
@@ -36,6 +36,24 @@ def repair_entities(
     return out
 
 
+KEPT, QUARANTINED = "kept", "quarantined"
+
+
+def route_conflicts(df: DataFrame, key: Sequence[str], *, name: str = "route") -> DataFrame:
+    """Every row with where it goes: all rows of a key whose rows disagree are quarantined, the others kept.
+
+    Rows of a repeated key that agree in every column are kept; ``group_rows`` tells how many there are.
+    """
+    classed = classify_duplicates(df, key)
+    return classed.withColumn(name, F.when(F.col("dup_class") == "conflict", QUARANTINED).otherwise(KEPT))
+
+
+def routed_account(routed: DataFrame, key: Sequence[str], *, name: str = "route") -> DataFrame:
+    """Rows, distinct keys and largest key of each route; the rows of all routes are those of the input."""
+    per_key = routed.groupBy(name, *key).agg(row_count().alias("n"))
+    return per_key.groupBy(name).agg(F.sum("n").alias("n_rows"), row_count().alias("n_keys"), F.max("n").alias("largest_key"))
+
+
 def repair_facts(
     fact: DataFrame,
     entity: DataFrame,

@@ -15,7 +15,7 @@ from ..operators import statistics as S
 from ..operators.profile import row_count, stack_row
 from ..sources import sinks
 from ..sources.scratch import materialize, scratch_path
-from ..sources.tables import Tables, read_csv_table, read_summary
+from ..sources.tables import Tables, malformed_cells, read_csv_cells, read_csv_table, read_summary
 from . import sqltext
 from .integrity_queries import _LINE_ORDER, LINE_KEY
 from .registry import query, rounded
@@ -284,6 +284,73 @@ def csv_scan(t: Tables) -> DataFrame:
     return read_csv_table(t.spark, path, t("customer").schema)
 
 
+_SPOILED = """CASE WHEN c_custkey % 50 = 0 THEN 'n/a' WHEN c_custkey % 50 = 1 THEN 'NaN' WHEN c_custkey % 50 = 2 THEN NULL ELSE CAST(c_acctbal AS {text}) END"""
+
+
+@query("csv_malformed_cells", sql="""
+WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 50 = 0) AS bad, count(*) FILTER (WHERE c_custkey % 50 = 1) AS nan, count(*) FILTER (WHERE c_custkey % 50 = 2) AS gone,
+                  count(*) FILTER (WHERE c_custkey % 30 = 7) AS words FROM customer)
+SELECT 'c_custkey' AS "column", n AS n_rows, 0::BIGINT AS empty, 0::BIGINT AS malformed, 0::BIGINT AS not_a_number, 0::BIGINT AS in_bad_rows, NULL AS first_bad FROM s
+UNION ALL SELECT 'c_acctbal', n, gone, bad, nan, 0, CASE WHEN bad > 0 THEN 'n/a' END FROM s
+UNION ALL SELECT 'c_nationkey', n, 0, words, 0, 0, CASE WHEN words > 0 THEN 'seven' END FROM s
+""")
+def csv_malformed_cells(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "spoiled-csv")
+    spoiled = t("customer").select("c_custkey", F.expr(_SPOILED.format(text="string")).alias("c_acctbal"),
+                                   F.expr("CASE WHEN c_custkey % 30 = 7 THEN 'seven' ELSE CAST(c_nationkey AS string) END").alias("c_nationkey"))
+    sinks.write_table(spoiled, path, fmt="csv")
+    declared = t("customer").select("c_custkey", "c_acctbal", "c_nationkey").schema
+    return malformed_cells(read_csv_cells(t.spark, path, declared))
+
+
+@query("results_by_run_date", sql="""
+SELECT o_orderpriority, n, run_date FROM (
+  SELECT o_orderpriority, count(*) FILTER (WHERE o_orderdate < '1998-01-01') AS n, '2024-01-31' AS run_date FROM orders GROUP BY 1
+  UNION ALL SELECT o_orderpriority, count(*), '2024-02-29' FROM orders GROUP BY 1)
+""")
+def results_by_run_date(t: Tables) -> DataFrame:
+    """Two runs, and a rerun of the second date over other rows: only that date's results are replaced."""
+    path = scratch_path(t.spark, "results")
+    early = F.count_if(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).alias("n")
+    first = t("orders").groupBy("o_orderpriority").agg(early)
+    sinks.write_dated(first, path, "2024-01-31")
+    sinks.write_dated(first, path, "2024-02-29")
+    return sinks.write_dated(t("orders").groupBy("o_orderpriority").agg(row_count().alias("n")), path, "2024-02-29").select(
+        "o_orderpriority", "n", F.col("run_date").cast("string"))
+
+
+_CONFLICTS = "(SELECT l_orderkey, l_linenumber, count(*) AS n, count(DISTINCT (l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)) > 1 AS bad FROM lineitem GROUP BY 1, 2)"
+
+
+def _routed(t: Tables) -> dict[str, DataFrame]:
+    return sinks.write_routed(X.route_conflicts(t("lineitem"), LINE_KEY), scratch_path(t.spark, "routed-lines"))
+
+
+@query("quarantined_keys", sql=f"SELECT l_orderkey, l_linenumber, n AS n_rows FROM {_CONFLICTS} WHERE bad")
+def quarantined_keys(t: Tables) -> DataFrame:
+    held = _routed(t).get(X.QUARANTINED)
+    return (held if held is not None else X.route_conflicts(t("lineitem"), LINE_KEY).limit(0)).groupBy(*LINE_KEY).agg(row_count().alias("n_rows"))
+
+
+@query("kept_rows", sql=f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
+WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM {_CONFLICTS} WHERE NOT bad)
+""")
+def kept_rows(t: Tables) -> DataFrame:
+    """The routed table's other part; no key is in both, and none of its rows is lost (see routed_account)."""
+    return _routed(t).get(X.KEPT, t("lineitem").limit(0)).select(*LINE_KEY, "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+@query("routed_account", sql=f"""
+SELECT CASE WHEN bad THEN 'quarantined' ELSE 'kept' END AS route, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_keys, max(n) AS largest_key, (SELECT count(*) FROM lineitem) AS input_rows
+FROM {_CONFLICTS} GROUP BY bad
+""")
+def routed_account(t: Tables) -> DataFrame:
+    parts = [part.withColumn("route", F.lit(name)) for name, part in _routed(t).items()]
+    account = X.routed_account(I.union_all(parts), LINE_KEY)
+    return account.withColumn("input_rows", t("lineitem").agg(row_count()).scalar())
+
+
 @query("partitioned_write", sql="""
 SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS order_year FROM orders
 """)

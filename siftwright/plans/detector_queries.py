@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import detectors as D
 from ..operators import mixture as M
 from ..operators.profile import row_count
+from ..sources.scratch import materialize
 from ..sources.tables import Tables
 from . import sqltext
 from .registry import query, result, rounded
@@ -159,17 +160,50 @@ def mixture_bic(t: Tables) -> DataFrame:
 
 @result("mixture_fit_values")
 def mixture_fit_values(t: Tables) -> DataFrame:
-    x = t("documents").select("doc_id", F.ln("n_chars").alias("log_chars"))
-    model = M.fit_mixtures(x, "log_chars", ks=(2,), n_init=5)[0]
+    x = t("documents").where("n_chars > 0").select("doc_id", F.ln("n_chars").alias("log_chars"))
+    model = M.fit_counts(M.value_counts(x, "log_chars"), 2)
     return x.select("doc_id", "log_chars", M.high_component_posterior("log_chars", *model.components).alias("posterior"),
                     M.is_contaminated("log_chars", model).alias("dq_contaminated"))
 
 
-@query("mixture_fit", sql="SELECT doc_id, true AS flagged_only_above_middle FROM documents")
+@query("mixture_fit", sql="""
+SELECT doc_id, true AS flag_follows_posterior, true AS flag_is_an_upper_part, true AS share_is_the_weight FROM documents WHERE n_chars > 0
+""")
 def mixture_fit(t: Tables) -> DataFrame:
-    found = mixture_fit_values(t)
-    middle = found.agg(F.percentile_approx("log_chars", 0.25)).scalar()
-    return found.select("doc_id", (~F.col("dq_contaminated") | (F.col("log_chars") > middle)).alias("flagged_only_above_middle"))
+    """Flags agree with the posteriors, nothing unflagged lies above a flagged value, and the posteriors' mean is a component's weight."""
+    x = t("documents").where("n_chars > 0").select("doc_id", F.ln("n_chars").alias("log_chars"))
+    model = M.fit_counts(M.value_counts(x, "log_chars"), 2)
+    low, high = model.components
+    apart = abs(high.mean - low.mean) / ((low.sd**2 + high.sd**2) / 2) ** 0.5 >= 2.0
+    rows = materialize(x.select("doc_id", "log_chars", M.high_component_posterior("log_chars", low, high).alias("posterior"),
+                                M.is_contaminated("log_chars", model).alias("flag")), "mixture-rows")
+    facts = rows.agg(F.struct(F.avg("posterior").alias("share"), F.min(F.when(F.col("flag"), F.col("log_chars"))).alias("lowest"),
+                              F.max(F.when(F.col("flag"), F.col("log_chars"))).alias("highest"))).scalar()
+    expected = (F.col("posterior") > 0.5) & (F.col("log_chars") > low.mean) & F.lit(apart)
+    # a narrow high component may leave the farthest values to the wide one, so the flagged part is an interval
+    between = F.coalesce(F.col("log_chars").between(facts.getField("lowest"), facts.getField("highest")), F.lit(False))
+    return rows.select("doc_id", (F.col("flag") == expected).alias("flag_follows_posterior"), (F.col("flag") == between).alias("flag_is_an_upper_part"),
+                       (F.abs(facts.getField("share") - high.weight) < 1e-3).alias("share_is_the_weight"))
+
+
+@query("mixture_fixed_point", sql="""
+WITH x AS (SELECT ln(n_chars) AS v FROM documents WHERE n_chars > 0)
+SELECT k, true AS fixed_point, true AS better_than_fewer, count(*) AS n, 1.0::DOUBLE AS total_weight, round(avg(v), 5) AS mean, round(avg(v * v), 5) AS second_moment
+FROM x, (SELECT unnest([2, 3])::INTEGER AS k) GROUP BY k
+""")
+def mixture_fixed_point(t: Tables) -> DataFrame:
+    """The fitted components are what follows from their own posteriors, and their mixture has the data's first two moments."""
+    counts = M.value_counts(t("documents").where("n_chars > 0").select(F.ln("n_chars").alias("log_chars")), "log_chars")
+    one, rows = M.fit_counts(counts, 1), []
+    before = one.log_likelihood
+    for k in (2, 3):
+        model = M.fit_counts(counts, k)
+        loglik, again = M.em_step(counts, model.components)
+        rows.append((k, M.largest_move(model.components, again) <= 1e-3, loglik >= before - 1e-6, model.n, round(sum(c.weight for c in again), 9),
+                     sum(c.weight * c.mean for c in again), sum(c.weight * (c.sd**2 + c.mean**2) for c in again)))
+        before = loglik
+    found = t.spark.createDataFrame(rows, "k int, fixed_point boolean, better_than_fewer boolean, n long, total_weight double, mean double, second_moment double")
+    return found.withColumns({c: F.round(c, 5) for c in ("mean", "second_moment")})
 
 
 @query("tail_excess_lognormal", sql=f"""

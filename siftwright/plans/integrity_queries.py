@@ -217,6 +217,18 @@ def grid_missing_cells(t: Tables) -> DataFrame:
     return cells.select("entity", F.col("period").cast("string"))
 
 
+@query("grid_missing_runs", sql="""
+WITH c AS (SELECT DISTINCT l_suppkey AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS period FROM lineitem),
+     p AS (SELECT period, row_number() OVER (ORDER BY period) AS i FROM (SELECT DISTINCT period FROM c)),
+     m AS (SELECT e.entity, p.period, p.i FROM (SELECT DISTINCT entity FROM c) e, p WHERE (e.entity, p.period) NOT IN (SELECT (entity, period) FROM c)),
+     g AS (SELECT *, i - row_number() OVER (PARTITION BY entity ORDER BY i) AS island FROM m)
+SELECT entity, strftime(min(period), '%Y-%m-%d') AS first_period, strftime(max(period), '%Y-%m-%d') AS last_period, count(*) AS n_periods FROM g GROUP BY entity, island
+""")
+def grid_missing_runs(t: Tables) -> DataFrame:
+    return I.grid_missing_runs(t("lineitem"), "l_suppkey", "l_shipdate").select(
+        "entity", F.col("first_period").cast("string"), F.col("last_period").cast("string"), "n_periods")
+
+
 @query("grid_completeness", sql="""
 WITH c AS (SELECT user_id AS e, CAST(ts AS DATE) AS p, count(*) AS n FROM events GROUP BY 1, 2),
      s AS (SELECT count(DISTINCT e) AS entities, count(DISTINCT p) AS periods, count(*) AS cells, CAST(sum(n) AS BIGINT) AS n FROM c)

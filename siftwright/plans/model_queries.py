@@ -1,12 +1,12 @@
 """Fits on the given tables; checked for shape and range, since fits are iterative.
 
 The customer label (negative balance) is independent of the customers' orders, so its scores should
-stay inside the shuffled-label band; the embeddings' first class is separable, the positive control.
+stay inside the shuffled-label band. The positive control is a label that the number of a customer's
+orders determines, turned over for the eighth of the customers whose hashed key begins with 0 or 1.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +32,18 @@ def customer_matrix(t: Tables) -> L.Matrix:
     return L.design_matrix(table, "o_custkey", "label", _NUMERIC, {"c_mktsegment": SEGMENTS})
 
 
-def embedding_matrix(t: Tables) -> L.Matrix:
-    rows = t("embeddings").select(
-        "vec_id", (F.col("label") == 0).cast("int").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    ends = t("embeddings").agg(F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")).first()
-    if ends["lo"] != ends["hi"]:
-        raise ValueError("vectors of different lengths")
-    size = ends["hi"]
-    return L.Matrix(rows, "vec_id", "label", [f"e{i}" for i in range(size)])
+ORDER_FEATURES = ["n_orders", "mean_price", "sd_price", "finished_share", "n_years"]
+_BUSY = "(count(*) > 10)"
+
+
+def order_matrix(t: Tables) -> L.Matrix:
+    """Customers with orders: five facts about them, and whether they have more than ten (an eighth turned over)."""
+    per = t("orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.coalesce(F.stddev_samp("o_totalprice"), F.lit(0.0)).alias("sd_price"),
+        F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("finished_share"), F.countDistinct(F.year("o_orderdate")).cast("double").alias("n_years"))
+    turned = F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 1).isin("0", "1")
+    table = materialize(per.withColumn("label", ((F.col("n_orders") > 10) != turned).cast("int")), "order-features")
+    return L.design_matrix(table, "o_custkey", "label", ORDER_FEATURES)
 
 
 def _estimators():
@@ -55,6 +59,7 @@ def _estimators():
 # scored in which fold, ranges, sums, the closed form of one component, and the verdicts of both controls.
 _CUSTOMERS = "(SELECT c_custkey AS o_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label FROM customer)"
 _FOLDED = f"""(SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('42:' || o_custkey), o_custkey) - 1) % 5 AS INTEGER) AS fold FROM {_CUSTOMERS})"""
+_ORDERS = f"""(SELECT o_custkey, CAST({_BUSY} <> (substr(md5(CAST(o_custkey AS VARCHAR)), 1, 1) IN ('0', '1')) AS INTEGER) AS label FROM orders GROUP BY 1)"""
 _TOTALS = f"(SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM {_CUSTOMERS})"
 
 
@@ -107,14 +112,49 @@ def label_signal_none(t: Tables) -> DataFrame:
 @result("label_signal_control_values")
 def label_signal_control_values(t: Tables) -> DataFrame:
     return L.label_signal(
-        embedding_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(500)}, draws=20, k=5)
+        order_matrix(t), {"logistic": lambda n: L.logistic(n), "forest": lambda n: L.forest(500)}, draws=20, k=5)
 
 
-@query("label_signal_control", sql="""
-SELECT unnest(['forest', 'logistic']) AS model, count(*) AS n, count(*) FILTER (WHERE label = 0) AS positives, true AS signal FROM embeddings
+@query("label_signal_control", sql=f"""
+SELECT unnest(['forest', 'logistic']) AS model, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, true AS above_the_null, true AS signal FROM {_ORDERS}
 """)
 def label_signal_control(t: Tables) -> DataFrame:
-    return label_signal_control_values(t).select("model", "n", "positives", "signal")
+    return label_signal_control_values(t).select("model", "n", "positives", (F.col("pooled_auc") > F.col("null_max")).alias("above_the_null"), "signal")
+
+
+# Fixed value: greatest slope of the penalised log-likelihood, per unit of weight, that counts as none; a constant score has slopes above 0.1.
+_FLAT = 1e-5
+
+
+def _optimality(t: Tables, weight=None) -> DataFrame:
+    """Gradient of the customers' fit at its stored coefficients, and its mean score, which at the optimum is the share of positives."""
+    coefficients, rows = L.logistic_parameters(order_matrix(t), weight=weight)
+    return L.logistic_gradient(rows, coefficients).select(
+        "parameter", (F.abs("gradient") <= _FLAT).alias("flat"), F.round("calibration", 4).alias("mean_score"))
+
+
+_PARAMETERS = ", ".join(f"'{c}'" for c in ["intercept", *ORDER_FEATURES])
+
+
+def _optimum_sql(weight: str) -> str:
+    return f"""WITH c AS (SELECT label, count(*) OVER () AS n, count(*) OVER (PARTITION BY label) AS of_class FROM {_ORDERS}),
+                    w AS (SELECT label, {weight} AS w FROM c)
+    SELECT unnest([{_PARAMETERS}]) AS parameter, true AS flat, round(sum(w * label) / sum(w), 4) AS mean_score FROM w"""
+
+
+@query("logistic_optimality", sql=_optimum_sql("1.0::DOUBLE"))
+def logistic_optimality(t: Tables) -> DataFrame:
+    return _optimality(t)
+
+
+@query("logistic_balanced_optimality", sql=_optimum_sql("n / (2.0 * of_class)"))
+def logistic_balanced_optimality(t: Tables) -> DataFrame:
+    return _optimality(t, lambda d: L.balanced_weight(d, "label"))
+
+
+@query("logistic_cost_optimality", sql=_optimum_sql("CASE WHEN label = 1 THEN 5.0 ELSE 1.0 END"))
+def logistic_cost_optimality(t: Tables) -> DataFrame:
+    return _optimality(t, lambda d: L.cost_weight("label"))
 
 
 @result("cost_weighted_comparison_values")
@@ -137,36 +177,38 @@ def cost_weighted_comparison(t: Tables) -> DataFrame:
                         (F.col("min_cost") <= rows).alias("at_most_everybody"))
 
 
-_FEATURES = "(SELECT 'e' || i AS feature FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i))"
-
-
 @result("permutation_importance_values")
 def permutation_importance_values(t: Tables) -> DataFrame:
-    return L.cross_importance(embedding_matrix(t), lambda n: L.forest(100), k=5, repeats=5)
+    return L.cross_importance(order_matrix(t), lambda n: L.forest(100), k=5, repeats=5)
+
+
+_NAMED = "(SELECT unnest([" + ", ".join(f"'{c}'" for c in ORDER_FEATURES) + "]) AS feature)"
 
 
-@query("permutation_importance", sql=f"SELECT feature, true AS in_range FROM {_FEATURES}")
+@query("permutation_importance", sql=f"SELECT feature, feature = 'n_orders' AS first, true AS in_range FROM {_NAMED}")
 def permutation_importance(t: Tables) -> DataFrame:
-    return permutation_importance_values(t).select("feature", (F.abs("perm_importance") <= 1).alias("in_range"))
+    found = materialize(permutation_importance_values(t), "importance")
+    best = found.agg(F.max("perm_importance")).scalar()
+    return found.select("feature", (F.col("perm_importance") == best).alias("first"), (F.abs("perm_importance") <= 1).alias("in_range"))
 
 
-_SHARES = "SELECT count(*) AS features, 1.0::DOUBLE AS total_share, true AS none_negative FROM {}"
+_SHARES = "SELECT count(*) AS features, 1.0::DOUBLE AS total_share, true AS none_negative, 'n_orders' AS first FROM {}"
 
 
 def _share_check(shares: DataFrame) -> DataFrame:
     return shares.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("share"), 6).alias("total_share"),
-                      F.bool_and(F.col("share") >= 0).alias("none_negative"))
+                      F.bool_and(F.col("share") >= 0).alias("none_negative"), F.max_by("feature", "share").alias("first"))
 
 
 @result("sampled_shapley_values")
 def sampled_shapley_values(t: Tables) -> DataFrame:
-    m = embedding_matrix(t)
-    data = materialize(m.data, "embedding-matrix")
+    m = order_matrix(t)
+    data = materialize(m.data, "order-matrix")
     model = L.forest(100).fit(data)
     return L.sampled_shapley(model, data, m.key, m.names, repeats=4)
 
 
-@query("sampled_shapley", sql=_SHARES.format(_FEATURES))
+@query("sampled_shapley", sql=_SHARES.format(_NAMED))
 def sampled_shapley(t: Tables) -> DataFrame:
     return _share_check(sampled_shapley_values(t))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,25 @@ def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by:
     writer.save(path)
 
 
+def write_routed(routed: DataFrame, path: str, *, route: str = "route") -> dict[str, DataFrame]:
+    """One write of all rows, dealt into a folder for each route; every route as a table of its own."""
+    routed.write.mode("overwrite").partitionBy(route).parquet(path)
+    written = routed.sparkSession.read.schema(routed.schema).parquet(path)
+    names = [r[0] for r in written.select(route).distinct().collect()]  # few by nature
+    return {n: written.where(F.col(route) == n).drop(route) for n in names}
+
+
+def write_dated(df: DataFrame, path: str, run_date: str, *, name: str = "run_date") -> DataFrame:
+    """Add the results of one run date to ``path``; those of the same date are replaced, other dates stay as they are.
+
+    Returns all dates. ``run_date`` is an ISO date.
+    """
+    date.fromisoformat(run_date)
+    dated = df.withColumn(name, F.lit(run_date).cast("date"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+    return df.sparkSession.read.schema(dated.schema).parquet(path)
+
+
 def write_register(register: DataFrame, path: str) -> None:
     """Issue register in its fixed column order; one row per rule, so one file."""
     register.select(*REGISTER_COLUMNS).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -25,8 +25,10 @@ def test_mixture_flags_are_the_planted_ones(spark, tmp_path):
     assert (low["weight"], high["weight"]) == (pytest.approx(0.75, abs=0.01), pytest.approx(0.25, abs=0.01))
 
 
-def test_attribution_finds_the_planted_dimension(spark, tmp_path):
-    rows = [(i, 0 if (i * 7) % 60 < 20 else 1, [float((i * 7) % 60), float((i * 11) % 13), float((i * 17) % 19)]) for i in range(60)]
-    spark.createDataFrame(rows, "vec_id int, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+def test_attribution_finds_the_planted_feature(spark, tmp_path):
+    """The label follows the number of orders; prices, states and dates are the same for everybody."""
+    rows = [(k, float(100 + (k * 7 + i) % 13), "FO"[i % 2], f"199{i % 3}-05-01") for k in range(60) for i in range(6 + k % 10)]
+    df = spark.createDataFrame(rows, "o_custkey long, o_totalprice double, o_orderstatus string, d string")
+    df.selectExpr("o_custkey", "o_totalprice", "o_orderstatus", "cast(d as timestamp) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     shares = RESULTS["sampled_shapley_values"](spark, str(tmp_path)).collect()
-    assert shares[0]["feature"] == "e0" and shares[0]["share"] > 0.5 and sum(r["share"] for r in shares) == pytest.approx(1.0)
+    assert shares[0]["feature"] == "n_orders" and shares[0]["share"] > 0.5 and sum(r["share"] for r in shares) == pytest.approx(1.0)
