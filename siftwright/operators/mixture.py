@@ -126,7 +126,7 @@ def largest_move(before: Sequence[Component], after: Sequence[Component]) -> flo
     return max(max(abs(a.weight - b.weight), abs(a.mean - b.mean) / b.sd, abs(a.sd - b.sd) / b.sd) for a, b in zip(before, after))
 
 
-def fit_counts(counts: DataFrame, k: int = 2, *, steps: int = 200, tol: float = 1e-4) -> Mixture:
+def fit_counts(counts: DataFrame, k: int = 2, *, steps: int = 300, tol: float = 1e-4) -> Mixture:
     """Mixture of ``k`` components by expectation maximisation over (x, n), the same on every run.
 
     Components start at equally spaced quantiles with the sd of all values. Two steps are followed
@@ -149,7 +149,7 @@ def fit_counts(counts: DataFrame, k: int = 2, *, steps: int = 200, tol: float =
             loglik, parts = reached, two
             break
         far = _extrapolated(parts, one, two)
-        if all(whole["lo"] <= c.mean <= whole["hi"] and c.sd <= sd for c in far):
+        if all(whole["lo"] <= c.mean <= whole["hi"] and c.sd <= 4 * sd for c in far):
             loglik, ahead = em_step(counts, far)
             # a long step that loses likelihood is not taken
             two = ahead if loglik >= reached else two
