@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
@@ -60,6 +60,12 @@ def reconcile(metrics: DataFrame, expectations: DataFrame) -> DataFrame:
     return joined.select("name", "expected", "actual", "tolerance", passed.alias("passed"))
 
 
+def claims(spark: SparkSession, values: Mapping[str, float | None], *, name: str = "name", value: str = "value") -> DataFrame:
+    """Named numbers, such as the metrics observed during writes, as rows; a dozen or two, never data."""
+    rows = [(n, None if v is None else float(v)) for n, v in values.items()]
+    return spark.createDataFrame(rows, f"`{name}` string, `{value}` double")
+
+
 def clean_bill(checks: DataFrame) -> DataFrame:
     """The checks that passed."""
     return checks.where("passed").select("name", "actual")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Column order of the issue register.
@@ -25,6 +25,20 @@ def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by:
     writer.save(path)
 
 
+def write_observed(df: DataFrame, path: str, metrics: Mapping[str, Column]) -> tuple[DataFrame, dict[str, object]]:
+    """Write ``df`` and aggregate its rows on their way to the files: the table as written, and the metrics seen.
+
+    The aggregate rides on the writing tasks, so it costs no further pass; a repeated task is counted once.
+    A table without rows gives the metrics of no rows.
+    """
+    seen = Observation()
+    columns = [m.alias(name) for name, m in metrics.items()]
+    df.observe(seen, *columns).write.mode("overwrite").parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    # an input that is known to be empty is planned away together with its observation
+    return written, seen.get or df.limit(0).agg(*columns).first().asDict()
+
+
 def write_routed(routed: DataFrame, path: str, *, route: str = "route") -> dict[str, DataFrame]:
     """One write of all rows, dealt into a folder for each route; every route as a table of its own."""
     routed.write.mode("overwrite").partitionBy(route).parquet(path)
