@@ -20,6 +20,7 @@ from ..operators import mixture as M
 from ..operators import register as R
 from ..operators import repair as X
 from ..operators.profile import row_count
+from ..session import side_session
 from ..sources import sinks
 from ..sources.scratch import materialize, scratch_path
 from ..sources.tables import Tables, read_csv_table
@@ -137,6 +138,7 @@ def _prices(t: Tables) -> tuple[DataFrame, dict]:
 
 def _checks(t: Tables) -> DataFrame:
     """Eleven register entries, row counts, impact lines and policy costs: claimed, found, and whether they agree."""
+    t = Tables(side_session(t.spark), t.folder)
     customers, c = _customers(t)
     lines, s = _lines(t)
     documents, d = _documents(t)
@@ -210,7 +212,9 @@ _CLAIMS_SQL = f"WITH r AS MATERIALIZED ({_REGISTER_SQL}), a AS MATERIALIZED (SEL
 @query("reconcile", sql=_CLAIMS_SQL)
 def reconcile(t: Tables) -> DataFrame:
     """All claims; a claim the rows do not bear out fails the run."""
-    return rounded(R.require_all(materialize(_checks(t), "claims")), 6)
+    checks, path = _checks(t), scratch_path(t.spark, "claims")
+    checks.write.parquet(path)
+    return rounded(R.require_all(t.spark.read.schema(checks.schema).parquet(path)), 6)
 
 
 # ------------------------------------------------------------------ clean bill

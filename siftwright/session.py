@@ -21,3 +21,16 @@ def local_session(cores: int = 8, *, shuffle_partitions: int | None = None, memo
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def side_session(spark: SparkSession) -> SparkSession:
+    """Another session of the same application with the same settings.
+
+    A session that has observed metrics can no longer be serialised, and Spark ML ships the session with
+    the training summary of a model; so observed writes run beside the session in which models are fitted.
+    """
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if side.conf.isModifiable(key):
+            side.conf.set(key, value)
+    return side

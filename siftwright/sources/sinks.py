@@ -29,7 +29,8 @@ def write_observed(df: DataFrame, path: str, metrics: Mapping[str, Column]) -> t
     """Write ``df`` and aggregate its rows on their way to the files: the table as written, and the metrics seen.
 
     The aggregate rides on the writing tasks, so it costs no further pass; a repeated task is counted once.
-    A table without rows gives the metrics of no rows.
+    A table without rows gives the metrics of no rows. Where models are fitted too, ``df`` should come from
+    :func:`siftwright.session.side_session`.
     """
     seen = Observation()
     columns = [m.alias(name) for name, m in metrics.items()]

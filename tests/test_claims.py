@@ -9,20 +9,41 @@ from siftwright.operators import mixture as M
 from siftwright.operators import register as R
 from siftwright.operators.profile import row_count
 from siftwright.plans import claim_queries as C
+from siftwright.session import side_session
 from siftwright.sources import sinks
+from siftwright.sources.scratch import checkpoint_root
 from siftwright.sources.tables import Tables
 
 
-def test_what_is_seen_during_a_write_is_what_was_written(spark, tmp_path):
-    df = spark.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("x"))
+@pytest.fixture(scope="module")
+def beside(spark):
+    return side_session(spark)
+
+
+def test_the_other_session_has_the_same_settings(spark, beside):
+    assert beside.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert checkpoint_root(beside) == checkpoint_root(spark)
+
+
+def test_models_can_be_fitted_after_an_observed_write(spark, folder):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    C._customers(Tables(side_session(spark), folder))
+    rows = VectorAssembler(inputCols=["id"], outputCol="features").transform(spark.range(40).withColumn("label", (F.col("id") % 3 == 0).cast("int")))
+    assert LogisticRegression(maxIter=2).fit(rows).transform(rows).agg(F.count("probability")).first()[0] == 40
+
+
+def test_what_is_seen_during_a_write_is_what_was_written(beside, tmp_path):
+    df = beside.range(0, 1000, 1, 7).select("id", F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("x"))
     metrics = {"rows": row_count(), "known": F.count("x"), "total": F.sum("x")}
     written, seen = sinks.write_observed(df.repartition(5), f"{tmp_path}/t", metrics)
     again = written.agg(*[m.alias(n) for n, m in metrics.items()]).first().asDict()
     assert seen == again and seen["rows"] == 1000 and seen["known"] == 666
 
 
-def test_tables_without_rows_are_observed_too(spark, tmp_path):
-    for i, empty in enumerate([spark.range(0), spark.range(10).where("id > 99"), spark.range(10).limit(0)]):
+def test_tables_without_rows_are_observed_too(beside, tmp_path):
+    for i, empty in enumerate([beside.range(0), beside.range(10).where("id > 99"), beside.range(10).limit(0)]):
         written, seen = sinks.write_observed(empty, f"{tmp_path}/{i}", {"rows": row_count(), "total": F.sum("id")})
         assert seen == {"rows": 0, "total": None} and written.count() == 0
 
