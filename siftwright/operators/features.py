@@ -16,6 +16,27 @@ from .ordering import quantiles, unpivot
 from .profile import long_stats
 
 FAMILIES = ("level", "volatility", "trend")
+NOTE = "feature"  # key of a feature's note in the metadata of its column
+
+# What a panel feature is taken for; {c} is the panel column.
+_WHY = {
+    "mean": "how much {c} there is in an average period", "median": "usual {c}, whatever single periods did", "min": "weakest period of {c}",
+    "max": "strongest period of {c}", "sd": "how far {c} swings between periods", "cv": "swing of {c} in units of its own level",
+    "slope": "change of {c} from one period to the next on a straight line", "rel_slope": "that change in units of the level of {c}",
+    "halfratio": "late {c} over early {c}, free of the shape in between", "last_minus_first": "{c} gained or lost over the whole series",
+    "trend_r2": "how well a straight line tells {c}", "declining": "whether the line of {c} falls",
+}
+
+
+def noted(c: Column | str, name: str, family: str, inputs: Sequence[str], why: str) -> Column:
+    """A feature column that carries its family, inputs and reason in its metadata, through joins and stored tables."""
+    c = F.col(c) if isinstance(c, str) else c
+    return c.alias(name, metadata={NOTE: {"family": family, "inputs": ",".join(inputs), "rationale": why}})
+
+
+def with_notes(df: DataFrame, notes: Mapping[str, tuple[str, Sequence[str], str]]) -> DataFrame:
+    """``df`` with notes (family, inputs, reason) on the named columns; the others keep theirs."""
+    return df.select(*[noted(c, c, *notes[c]) if c in notes else F.col(c) for c in df.columns])
 
 
 def build_panel(facts: DataFrame, entity: str, period: Column, metrics: Mapping[str, Column]) -> DataFrame:
@@ -66,25 +87,24 @@ def panel_features(
         g = g.withColumn("__early", F.slice("__series", 1, k)).withColumn(
             "__late", F.slice("__series", F.greatest(F.size("__series") - k + 1, F.lit(1)), k))
     out: list[Column] = [F.col(entity)]
-    for tag in metrics:
-        mean, sd, slope = F.col(f"{tag}_mean"), F.col(f"{tag}_sd"), f"{tag}_slope"
+    for tag, source in metrics.items():
+        mean, sd, slope = F.col(f"{tag}_mean"), F.col(f"{tag}_sd"), F.col(f"{tag}_slope")
+
+        def add(family: str, **features: Column) -> None:
+            out.extend(noted(c, f"{tag}_{name}", f"usage_{family}", [source], _WHY[name].format(c=source)) for name, c in features.items())
+
         if "level" in families:
-            out += [mean, F.col(f"{tag}_median"), F.col(f"{tag}_min"), F.col(f"{tag}_max")]
+            add("level", mean=mean, median=F.col(f"{tag}_median"), min=F.col(f"{tag}_min"), max=F.col(f"{tag}_max"))
         if "volatility" in families:
-            out += [sd, safe_ratio(sd, mean).alias(f"{tag}_cv")]
+            add("volatility", sd=sd, cv=safe_ratio(sd, mean))
         if trend:
             early, late = _mean_of(F.col("__early"), tag), _mean_of(F.col("__late"), tag)
         if "trend" in families:
-            out += [
-                F.col(slope), safe_ratio(slope, mean).alias(f"{tag}_rel_slope"),
-                half_ratio(early, late).alias(f"{tag}_halfratio"), F.col(f"{tag}_last_minus_first"),
-                F.col(f"{tag}_trend_r2"), (F.col(slope) < 0).cast("int").alias(f"{tag}_declining"),
-            ]
+            add("trend", slope=slope, rel_slope=safe_ratio(slope, mean), halfratio=half_ratio(early, late),
+                last_minus_first=F.col(f"{tag}_last_minus_first"), trend_r2=F.col(f"{tag}_trend_r2"), declining=(slope < 0).cast("int"))
         if extras:
-            out += [
-                early.alias(f"{tag}_first{k}"), late.alias(f"{tag}_last{k}"),
-                F.element_at("__series", -1).getField(tag).alias(f"{tag}_last1"),
-            ]
+            ends = {f"first{k}": early, f"last{k}": late, "last1": F.element_at("__series", -1).getField(tag)}
+            out += [noted(c, f"{tag}_{name}", "usage_ends", [source], f"{source} at one end of the series") for name, c in ends.items()]
     return g.select(*out)
 
 
@@ -108,15 +128,27 @@ def engagement_features(
     aggs += [F.sum(c).alias(n) for n, c in (totals or {}).items()]
     aggs += [safe_ratio(F.sum(a), F.sum(b)).alias(n) for n, (a, b) in (ratios or {}).items()]
     g = panel.groupBy(entity).agg(*aggs)
-    return g.withColumns({n: F.col(a) * F.col(b) for n, (a, b) in (products or {}).items()})
+    g = g.withColumns({n: F.col(a) * F.col(b) for n, (a, b) in (products or {}).items()})
+    family = "engagement"
+    return with_notes(g, {
+        **{n: (family, [c], f"periods without {c}") for n, c in (zero_periods or {}).items()},
+        **{n: (family, [c], f"periods with {c}") for n, c in (active_periods or {}).items()},
+        **{n: (family, [c], f"all {c} together") for n, c in (totals or {}).items()},
+        **{n: (family, list(ab), f"{ab[0]} for each of {ab[1]}, over all periods") for n, ab in (ratios or {}).items()},
+        **{n: (family, list(ab), f"{ab[0]} and {ab[1]} at the same time") for n, ab in (products or {}).items()},
+    })
 
 
 def tenure_features(df: DataFrame, start: str, *, window_start: Column, window_end: Column) -> DataFrame:
     """Months of tenure at the end of the window, start year, and whether the start lies inside it."""
-    return df.withColumns({
+    return with_notes(df.withColumns({
         "tenure_months": tenure_months(start, window_end),
         "start_year": F.year(start),
         "started_in_window": (F.col(start) >= window_start).cast("int"),
+    }), {
+        "tenure_months": ("contract", [start], "months since the start, at the end of the window"),
+        "start_year": ("contract", [start], "year of the start"),
+        "started_in_window": ("contract", [start], "whether the whole history lies inside the window"),
     })
 
 
@@ -157,14 +189,16 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in rest})
 
 
-def feature_catalogue(table: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Family of every feature beside its gaps and mean in the table; unknown names are refused."""
-    names = [f for fs in families.values() for f in fs]
-    missing = [f for f in names if f not in table.columns]
-    if missing:
-        raise ValueError(f"features not in the table: {missing}")
-    family = F.create_map(*[x for fam, fs in families.items() for f in fs for x in (F.lit(f), F.lit(fam))])
-    s = long_stats(table, names, {
-        "n": lambda c: F.count(c), "n_missing": lambda c: F.count_if(F.col(c).isNull()), "mean": lambda c: F.avg(c),
+def feature_catalogue(table: DataFrame) -> DataFrame:
+    """Family, inputs and reason of every feature, as its builder noted them, beside its gaps and mean in the table.
+
+    Columns without a note (keys, labels, flags) are no features; the mean of a text is NULL.
+    """
+    notes = {f.name: f.metadata[NOTE] for f in table.schema.fields if NOTE in f.metadata}
+    if not notes:
+        raise ValueError("no column of the table carries a feature note")
+    s = long_stats(table, list(notes), {
+        "n": lambda c: F.count(c), "n_missing": lambda c: F.count_if(F.col(c).isNull()), "mean": lambda c: F.avg(F.col(c).try_cast("double")),
     }, name="feature")
-    return s.select(family[F.col("feature")].alias("family"), "feature", "n", "n_missing", "mean")
+    lookup = F.create_map(*[x for f, note in notes.items() for x in (F.lit(f), F.struct(*[F.lit(note[k]).alias(k) for k in ("family", "inputs", "rationale")]))])
+    return s.select(lookup[F.col("feature")].alias("note"), "feature", "n", "n_missing", "mean").select("note.*", "feature", "n", "n_missing", "mean")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .detectors import impute_median, null_out
 from .integrity import classify_duplicates, flag_before_start, keep_first
 from .profile import row_count
@@ -24,13 +25,16 @@ def repair_entities(
     """One row per key with every change visible.
 
     ``flags`` adds boolean columns, ``clean`` maps a new column to (raw column, flags that make it
-    NULL), ``impute`` names columns that get ``<column>_imputed`` and ``<column>_missing``.
+    NULL), ``impute`` names columns that get ``<column>_imputed`` (the exact median of the repaired rows in
+    the gaps) and ``<column>_missing``; the rows are stored first, since medians and result both read them.
     """
     out = keep_first(df, key, order_by)
     if flags:
         out = out.withColumns(dict(flags))
     for name, (raw, bad) in (clean or {}).items():
         out = out.withColumn(name, null_out(raw, *[F.col(b) for b in bad]))
+    if impute:
+        out = materialize(out, "repaired")
     for c in impute:
         out = impute_median(out, c, imputed=f"{c}_imputed", flag=f"{c}_missing")
     return out

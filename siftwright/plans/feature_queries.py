@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import features as V
-from ..operators.detectors import impute_median, is_negative, null_out
+from ..operators import integrity as I
+from ..operators.detectors import flag_values, impute_median, is_negative
 from ..sources.scratch import materialize
 from ..sources.tables import Tables
 from .registry import query, rounded
@@ -102,32 +103,44 @@ def panel_features_engagement(t: Tables) -> DataFrame:
 
 
 def customer_entity(t: Tables) -> DataFrame:
-    """Key, label, category, cleaned balance of the nation's suppliers as a value with gaps, and tenure."""
-    c = t("customer").select(
-        F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_nationkey").alias("n"), "c_acctbal",
+    """Key, label, category, the lowest balance of the nation's suppliers (absent, invalid and filled apart), tenure, and dq_dup_conflict."""
+    c = I.keep_first(t("customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey"), ["c_custkey"]).select(
+        F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_nationkey").alias("n"), "dq_dup_conflict",
         is_negative("c_acctbal").cast("int").alias("label"))
     supply = t("supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.min("s_acctbal").alias("supply_low"))
     first = t("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_order"))
     end = F.to_date(t("orders").agg(F.max("o_orderdate")).scalar())
-    joined = c.join(supply, "n", "left").join(first, "o_custkey", "left")
-    joined = joined.withColumn("supply_clean", null_out("supply_low", is_negative("supply_low")))
-    joined = impute_median(joined, "supply_clean", imputed="supply_imputed", flag="supply_missing")
-    joined = joined.withColumn("supply_missing", F.col("supply_missing").cast("int")).withColumn(
-        "is_machinery", (F.col("c_mktsegment") == "MACHINERY").cast("int"))
+    joined = c.join(first, "o_custkey", "left").join(supply, "n", "left")
+    joined = flag_values(joined, "supply_low", {"supply_bad": is_negative("supply_low")}, "supply_clean", ["supply_bad"])
+    joined = impute_median(joined, "supply_clean", imputed="supply_imputed", flag="supply_gap").withColumns({
+        "supply_missing": F.col("supply_low").isNull().cast("int"), "supply_invalid": F.col("supply_bad").cast("int"),
+        "is_machinery": (F.col("c_mktsegment") == "MACHINERY").cast("int")})
     tenure = V.tenure_features(
         joined.withColumn("first_day", F.to_date("first_order")), "first_day",
         window_start=F.make_date(F.lit(1996), F.lit(1), F.lit(1)), window_end=end)
-    return tenure.select(
-        "o_custkey", "label", "c_mktsegment", "supply_imputed", "supply_missing", "is_machinery",
-        "tenure_months", "start_year", "started_in_window")
+    return V.with_notes(tenure.select(
+        "o_custkey", "label", "dq_dup_conflict", "c_mktsegment", "supply_imputed", "supply_missing", "supply_invalid", "is_machinery",
+        "tenure_months", "start_year", "started_in_window"), ENTITY_NOTES)
+
+
+# Who the customer is and where it sits: family, inputs, reason.
+ENTITY_NOTES = {
+    "c_mktsegment": ("demographic", ["c_mktsegment"], "line of business"),
+    "is_machinery": ("demographic", ["c_mktsegment"], "one line of business against all others"),
+    "supply_imputed": ("demographic", ["s_acctbal"], "weakest supplier of the nation, with the median where there is no valid one"),
+    "supply_missing": ("demographic", ["s_acctbal"], "nation without a supplier"),
+    "supply_invalid": ("demographic", ["s_acctbal"], "weakest supplier in debt, so its balance is not used"),
+}
 
 
 _ENTITY = """
 WITH f AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders GROUP BY 1), s AS (SELECT s_nationkey, min(s_acctbal) AS lo FROM supplier GROUP BY 1),
-  j AS (SELECT c_custkey AS o_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label, c_mktsegment, CASE WHEN NOT coalesce(lo < 0, false) THEN lo END AS v, CAST(d AS DATE) AS d
-        FROM customer LEFT JOIN f ON f.o_custkey = c_custkey LEFT JOIN s ON s_nationkey = c_nationkey)
-SELECT o_custkey, label, c_mktsegment, round(coalesce(v, (SELECT median(v) FROM j)), 6) AS supply_imputed, CAST(v IS NULL AS INTEGER) AS supply_missing,
-  CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS is_machinery,
+  c AS (SELECT *, count(DISTINCT (c_acctbal, c_mktsegment, c_nationkey)) OVER (PARTITION BY c_custkey) > 1 AS dq_dup_conflict, row_number() OVER (
+        PARTITION BY c_custkey ORDER BY c_acctbal NULLS FIRST, c_mktsegment NULLS FIRST, c_nationkey NULLS FIRST) AS rn FROM customer),
+  j AS (SELECT c_custkey AS o_custkey, CAST(c_acctbal < 0 AS INTEGER) AS label, dq_dup_conflict, c_mktsegment, lo, CASE WHEN NOT coalesce(lo < 0, false) THEN lo END AS v, CAST(d AS DATE) AS d
+        FROM c LEFT JOIN f ON f.o_custkey = c_custkey LEFT JOIN s ON s_nationkey = c_nationkey WHERE rn = 1)
+SELECT o_custkey, label, dq_dup_conflict, c_mktsegment, round(coalesce(v, (SELECT median(v) FROM j)), 6) AS supply_imputed, CAST(lo IS NULL AS INTEGER) AS supply_missing,
+  CAST(coalesce(lo < 0, false) AS INTEGER) AS supply_invalid, CAST(c_mktsegment = 'MACHINERY' AS INTEGER) AS is_machinery,
   round_even(date_diff('day', d, (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)) / 30.44, 0) AS tenure_months,
   CAST(year(d) AS INTEGER) AS start_year, CAST(d >= DATE '1996-01-01' AS INTEGER) AS started_in_window FROM j"""
 
@@ -179,18 +192,38 @@ def one_hot(t: Tables) -> DataFrame:
     return V.one_hot(c, "c_mktsegment", SEGMENTS).drop("c_mktsegment")
 
 
-_FAMILIES = {"contract": ["tenure_months", "start_year"], "usage_level": ["spend_mean"], "usage_trend": ["fill_halfratio"], "engagement": ["filled_total"]}
+# Panel features by family, as SQL.
+_PARTS = {
+    "usage_level": {"mean": "avg({v})", "median": "median({v})", "min": "min({v})", "max": "max({v})"},
+    "usage_volatility": {"sd": "stddev_pop({v})", "cv": "CASE WHEN avg({v}) > 0 THEN stddev_pop({v}) / avg({v}) ELSE 0.0 END"},
+    "usage_trend": {
+        "slope": _SLOPE, "rel_slope": f"CASE WHEN avg({{v}}) > 0 THEN ({_SLOPE}) / avg({{v}}) ELSE 0.0 END",
+        "halfratio": f"CASE WHEN {_EARLY} > 0 THEN {_LATE} / {_EARLY} END", "last_minus_first": "arg_max({v}, t) - arg_min({v}, t)",
+        "trend_r2": "CASE WHEN min({v}) = max({v}) OR min(t) = max(t) THEN 0.0 ELSE regr_r2({v}, t) END", "declining": f"CAST(({_SLOPE}) < 0 AS INTEGER)"},
+}
+_ENGAGED = {
+    "n_unfilled_years": ("n_filled", "periods without n_filled"), "n_filled_years": ("n_filled", "periods with n_filled"), "filled_total": ("n_filled", "all n_filled together"),
+    "filled_per_order": ("n_filled,orders", "n_filled for each of orders, over all periods"), "spend_per_order": ("spend,orders", "spend for each of orders, over all periods"),
+    "unfilled_interaction": ("n_unfilled_years,filled_total", "n_unfilled_years and filled_total at the same time"),
+}
+_STARTED = {"tenure_months": "months since the start, at the end of the window", "start_year": "year of the start",
+            "started_in_window": "whether the whole history lies inside the window"}
+
+
+def _catalogue_sql() -> str:
+    wide = ", ".join(f'{e.replace("{v}", chr(34) + tag + chr(34))} AS {tag}_{name}' for tag in METRICS for part in _PARTS.values() for name, e in part.items())
+    features = [(family, ",".join(inputs), why, name) for name, (family, inputs, why) in ENTITY_NOTES.items()]
+    features += [("contract", "first_day", why, name) for name, why in _STARTED.items()]
+    features += [(family, source, V._WHY[name].format(c=source), f"{tag}_{name}") for tag, source in METRICS.items() for family, part in _PARTS.items() for name in part]
+    features += [("engagement", inputs, why, name) for name, (inputs, why) in _ENGAGED.items()]
+    lines = " UNION ALL ".join(
+        f"SELECT '{family}' AS family, '{inputs}' AS inputs, '{why}' AS rationale, '{name}' AS feature, count({name}) AS n, count(*) - count({name}) AS n_missing, "
+        f"round(avg(TRY_CAST({name} AS DOUBLE)), 4) AS mean FROM x" for family, inputs, why, name in features)
+    return (f"WITH e AS ({_ENTITY}), g AS ({_ENGAGE}), p AS (SELECT o_custkey AS k, {wide} FROM {_PANEL} GROUP BY 1), "
+            f"x AS MATERIALIZED (SELECT * FROM e LEFT JOIN g USING (o_custkey) LEFT JOIN p ON p.k = e.o_custkey) {lines}")
 
 
-@query("feature_catalogue", sql=f"""
-WITH e AS ({_ENTITY}), g AS ({_ENGAGE}), p AS (SELECT o_custkey, avg(spend) AS spend_mean,
-  CASE WHEN {_EARLY.replace('{v}', 'fill')} > 0 THEN {_LATE.replace('{v}', 'fill')} / {_EARLY.replace('{v}', 'fill')} END AS h FROM {_PANEL} GROUP BY 1),
-  x AS (SELECT e.o_custkey, tenure_months, start_year, spend_mean, h, filled_total FROM e LEFT JOIN g ON g.o_custkey = e.o_custkey LEFT JOIN p ON p.o_custkey = e.o_custkey)
-SELECT 'contract' AS family, 'tenure_months' AS feature, count(tenure_months) AS n, count(*) - count(tenure_months) AS n_missing, round(avg(tenure_months), 4) AS mean FROM x
-UNION ALL SELECT 'contract', 'start_year', count(start_year), count(*) - count(start_year), round(avg(start_year), 4) FROM x
-UNION ALL SELECT 'usage_level', 'spend_mean', count(spend_mean), count(*) - count(spend_mean), round(avg(spend_mean), 4) FROM x
-UNION ALL SELECT 'usage_trend', 'fill_halfratio', count(h), count(*) - count(h), round(avg(h), 4) FROM x
-UNION ALL SELECT 'engagement', 'filled_total', count(filled_total), count(*) - count(filled_total), round(avg(filled_total), 4) FROM x
-""")
+@query("feature_catalogue", sql=_catalogue_sql())
 def feature_catalogue(t: Tables) -> DataFrame:
-    return rounded(V.feature_catalogue(customer_features(t), _FAMILIES), 4)
+    """Every feature of the table, from the notes its builders left."""
+    return rounded(V.feature_catalogue(customer_features(t)), 4)
