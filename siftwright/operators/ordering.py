@@ -90,7 +90,11 @@ def ordered_counts(
         present.groupBy(*by, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
     )
-    per_value = materialize(per_value, "values")
+    return _running_totals(materialize(per_value, "values"), value, by, counts)
+
+
+def _running_totals(per_value: DataFrame, value: str, by: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """:func:`ordered_counts` of a stored table with one row per (group, value)."""
     bucketed = _with_bucket(per_value, F.struct(*by, value))
     inside = (
         Window.partitionBy(*by, _BUCKET).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +111,61 @@ def ordered_counts(
     )
 
 
+def _brackets(present: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """Per group: rows and, for every probability, two values of which a sketch says that the quantile lies between them.
+
+    The sketch errs by at most a share of 1 / ``accuracy`` of the ranks; the bounds are twice that away. Groups of fewer
+    than 2 * ``accuracy`` rows, where that is less than four ranks, are bracketed whole.
+    """
+    margin = 2.0 / accuracy
+    ends = [(max(0.0, p - margin), min(1.0, p + margin)) for p in probs]
+    sketch = present.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.percentile_approx(value, [q for pair in ends for q in pair], accuracy).alias("q"))
+    few = F.col("rows") < 2 * accuracy
+    columns = []
+    for i, (lo, hi) in enumerate(ends):
+        columns += [
+            F.when(few | F.lit(lo <= 0), F.col("least")).otherwise(F.get("q", F.lit(2 * i))).alias(f"lo{i}"),
+            F.when(few | F.lit(hi >= 1), F.col("most")).otherwise(F.get("q", F.lit(2 * i + 1))).alias(f"hi{i}"),
+        ]
+    return sketch.select(*by, F.struct("rows", *columns).alias("__b"))
+
+
+def _bracketed_values(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame | None:
+    """Stored (group, value, n) that gives the same quantiles as all distinct values, or None where a bracket has missed.
+
+    Values inside a bracket keep their own row. All others between two brackets count for the least of them, so a
+    group sends at most one row a task for each bracket besides the values inside, a share of at most
+    6 / ``accuracy`` of its rows for each probability.
+    """
+    present = df.where(F.col(value).isNotNull()).select(*by, value)
+    # one row per group, written so that its size is known when the join is planned
+    found = materialize(_brackets(present, value, probs, by, accuracy), "brackets")
+    if by:
+        marked = null_safe_join(present, found, by)
+    else:
+        marked = present.withColumn("__b", found.scalar())
+    x, b = F.col(value), F.col("__b")
+    bounds = [(b.getField(f"lo{i}"), b.getField(f"hi{i}")) for i in range(len(probs))]
+    inside = reduce(lambda a, c: a | c, [x.between(lo, hi) for lo, hi in bounds])
+    passed = reduce(lambda a, c: a + c, [(x > hi).cast("int") for _, hi in bounds])
+    cells = marked.select(*by, value, F.when(inside, x).alias("__own"), F.when(~inside, passed).alias("__region"))
+    counted = cells.groupBy(*by, "__own", "__region").agg(F.min(value).alias(value), F.count(F.lit(1)).alias("n"))
+    values = materialize(counted.select(*by, value, "n", F.col("__own").isNotNull().alias("__exact")), "values")
+    # whether each wanted rank falls inside its bracket: sums over the stored values, one flag comes back
+    held = null_safe_join(values, found, by) if by else values.withColumn("__b", found.scalar())
+    per = held.groupBy(*by).agg(F.first("__b").getField("rows").alias("rows"), *[
+        agg for i, (lo, hi) in enumerate(bounds) for agg in (
+            F.sum(F.when(x < lo, F.col("n")).otherwise(0)).alias(f"below{i}"),
+            F.sum(F.when(F.col("__exact") & x.between(lo, hi), F.col("n")).otherwise(0)).alias(f"in{i}"))
+    ])
+    ranks = [(F.col("rows") - 1) * F.lit(float(p)) for p in probs]
+    whole = reduce(lambda a, c: a & c, [
+        (F.col(f"below{i}") <= F.floor(r)) & (F.ceil(r) < F.col(f"below{i}") + F.col(f"in{i}")) for i, r in enumerate(ranks)])
+    return values.drop("__exact") if per.where(~whole).isEmpty() else None
+
+
 def quantiles(
     df: DataFrame,
     value: str,
@@ -115,10 +174,14 @@ def quantiles(
     *,
     approximate: bool = False,
     weight: str | None = None,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row per group, one column per name in ``probs``.
 
-    Exact by default. ``approximate`` trades exactness for a mergeable sketch in one pass.
+    Exact by default, in two passes: a mergeable sketch brackets each quantile, a second pass counts what lies below
+    and orders only the values inside the brackets. A bracket that misses its rank (the count tells) sends the whole
+    column through :func:`ordered_counts`, as does ``weight``. ``accuracy`` decides how narrow the brackets are, not
+    the result. ``approximate`` trades exactness for the sketch alone.
     """
     by = list(by)
     if approximate:
@@ -127,7 +190,8 @@ def quantiles(
             F.percentile_approx(value, [probs[k] for k in names], 10000).alias("q")
         )
         return sketch.select(*by, *[F.get("q", F.lit(i)).cast("double").alias(k) for i, k in enumerate(names)])
-    counts = ordered_counts(df, value, by, weight=weight)
+    values = None if weight else _bracketed_values(df, value, list(probs.values()), by, accuracy)
+    counts = ordered_counts(df, value, by, weight=weight) if values is None else _running_totals(values, value, by, ["n"])
     x = F.col(value).cast("double")
     end = F.col("n_before") + F.col("n")
 

@@ -87,3 +87,44 @@ def test_bin_conventions(spark):
     got = df.select(bin_right_closed("x", edges).alias("r"), bin_left_closed("x", edges).alias("l")).collect()
     assert [r["r"] for r in got] == [None, None, 1, 2, None, None]
     assert [r["l"] for r in got] == [None, 1, 2, 2, None, None]
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_narrow_brackets_give_the_same_quantiles(frame, skewed, accuracy):
+    probs = {"p0": 0.0, "p1": 0.013, "p2": 0.05, "p3": 0.5, "p4": 0.501, "p5": 0.99, "p6": 1.0}
+    got = {r["g"]: r for r in quantiles(frame, "x", probs, ["g"], accuracy=accuracy).collect()}
+    for g, part in skewed.dropna().groupby("g"):
+        for k, p in probs.items():
+            assert got[g][k] == pytest.approx(np.quantile(part.x, p), abs=1e-9), (g, k)
+
+
+def test_brackets_store_a_share_of_the_values(spark):
+    from siftwright.operators import ordering as O
+
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    stored = O._bracketed_values(df, "x", [0.25, 0.5, 0.75], [], 1000)
+    assert stored.count() <= 3 * 200_000 * 6 // 1000 + 4 * 8
+    assert stored.agg(F.sum("n")).first()[0] == 200_000
+    assert df.select("x").distinct().count() == 200_000
+    want = np.quantile(np.arange(200_000) * 7919 % 200_003, [0.25, 0.5, 0.75])
+    assert list(quantiles(df, "x", {"a": 0.25, "b": 0.5, "c": 0.75}, accuracy=1000).first()) == pytest.approx(list(want))
+
+
+def test_a_missed_bracket_sends_the_whole_column_through(spark, frame, skewed, monkeypatch):
+    from siftwright.operators import ordering as O
+
+    def wrong(present, value, probs, by, accuracy):
+        low = present.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("lo0"), F.min(value).alias("hi0"))
+        return low.select(*by, F.struct("rows", "lo0", "hi0").alias("__b"))
+
+    monkeypatch.setattr(O, "_brackets", wrong)
+    assert O._bracketed_values(frame, "x", [0.5], ["g"], 10) is None
+    got = {r["g"]: r["m"] for r in quantiles(frame, "x", {"m": 0.5}, ["g"]).collect()}
+    assert got == {g: pytest.approx(np.quantile(part.x, 0.5)) for g, part in skewed.dropna().groupby("g")}
+
+
+def test_large_integers_are_not_rounded_by_the_sketch(spark):
+    # next to 2^60 doubles are 128 apart, so the sketch's bounds are not values of the column
+    df = spark.range(0, 3000).select((F.lit(1 << 60) + F.col("id")).alias("x"), F.lit(1).alias("g"))
+    row = quantiles(df, "x", {"a": 0.0, "m": 0.5, "z": 1.0}, accuracy=50).first()
+    assert [row["a"], row["m"], row["z"]] == [float(1 << 60), float((1 << 60) + 1500), float((1 << 60) + 2999)]
