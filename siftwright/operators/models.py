@@ -23,6 +23,7 @@ from ..sources.scratch import materialize
 from .evaluate import score_metrics
 from .features import fill_with_indicator, null_columns, one_hot
 from .integrity import union_all
+from .many_fits import fit_many, held_out_scores
 from .ordering import add_position
 from .profile import row_count
 
@@ -250,42 +251,43 @@ def fold_comparison(scores: DataFrame) -> DataFrame:
         F.avg("roc_auc").alias("fold_mean_auc"), F.stddev_pop("roc_auc").alias("fold_sd_auc"), row_count().alias("folds"))
 
 
-def label_null(matrix: Matrix, *, draws: int = 20, k: int = 5, seed: int = 42, threads: int = 4) -> DataFrame:
+def label_null(matrix: Matrix, *, draws: int = 20, k: int = 5, seed: int = 42) -> DataFrame:
     """AUC of a logistic model on shuffled labels, one row per draw; the null's model is named.
 
-    Folds are dealt per draw within the shuffled labels, as for the true ones.
+    Folds are dealt per draw within the shuffled labels, as for the true ones. The fits of all
+    draws and folds share their passes over the rows.
     """
-    spark = matrix.data.sparkSession
+    scores = null_scores(matrix, draws=draws, k=k, seed=seed)
+    return score_metrics(scores, "score", "label", ["draw"]).select(
+        "draw", F.lit("logistic").alias("null_model"), "roc_auc")
+
+
+def null_rows(matrix: Matrix, *, draws: int, k: int, seed: int) -> DataFrame:
+    """Stored rows of the matrix with a shuffled label and a fold for every draw: (key, features, x, ys, fs)."""
     shuffled = permute_labels(matrix.data.select(matrix.key, matrix.label), matrix.key, matrix.label, draws)
     folded = stratified_folds(shuffled, matrix.key, matrix.label, k, seed, by=["draw"])
-    wide = folded.groupBy(matrix.key).agg(*[
-        F.max(F.when(F.col("draw") == d, F.col(c))).cast("int").alias(f"{short}{d}")
-        for d in range(draws) for short, c in (("y", matrix.label), ("f", "fold"))
-    ])
-    data = materialize(matrix.data.select(matrix.key, "features").join(wide, matrix.key), "null-matrix")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
 
-        def one(task: tuple[int, int]) -> DataFrame:
-            d, f = task
-            drawn = data.select("features", F.col(f"y{d}").alias("label"), F.col(f"f{d}").alias("fold"))
-            model = logistic(n * (k - 1) / k).fit(drawn.where(F.col("fold") != f))
-            return positive_probability(model, drawn.where(F.col("fold") == f), "label").select(
-                F.lit(d).alias("draw"), "label", "score")
+    def per_draw(c: str) -> Column:
+        return F.array(*[F.max(F.when(F.col("draw") == d, F.col(c))).cast("int") for d in range(draws)])
 
-        tasks = [(d, f) for d in range(draws) for f in range(k)]
-        scores = materialize(union_all(_parallel(spark, one, tasks, threads)), "null-scores")
+    wide = folded.groupBy(matrix.key).agg(per_draw(matrix.label).alias("ys"), per_draw("fold").alias("fs"))
+    rows = matrix.data.select(matrix.key, "features", vector_to_array("features").alias("x"))
+    return materialize(rows.join(wide, matrix.key), "null-matrix")
+
+
+def null_scores(matrix: Matrix, *, draws: int, k: int, seed: int) -> DataFrame:
+    """Held-out scores under shuffled labels: (draw, label, score)."""
+    rows = null_rows(matrix, draws=draws, k=k, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return materialize(held_out_scores(rows, fit_many(rows, draws, k), draws), "null-scores")
     finally:
-        data.unpersist()
-    return score_metrics(scores, "score", "label", ["draw"]).select(
-        "draw", F.lit("logistic").alias("null_model"), "roc_auc")
+        rows.unpersist()
 
 
 def label_signal(matrix: Matrix, estimators: Mapping[str, Callable[[float], Estimator]], *, draws: int = 20, k: int = 5, seed: int = 42, threads: int = 4) -> DataFrame:
     """The whole test as one call: pooled and per-fold AUC of every model against the shuffled-label band."""
     scores = oof_scores(matrix, estimators, k=k, seed=seed, threads=threads)
-    null = materialize(label_null(matrix, draws=draws, k=k, seed=seed, threads=threads), "null-auc")
+    null = materialize(label_null(matrix, draws=draws, k=k, seed=seed), "null-auc")
     band = null.agg(F.struct(
         F.min("roc_auc").alias("lo"), F.max("roc_auc").alias("hi"), row_count().alias("n"),
         F.array_sort(F.collect_list("roc_auc")).alias("draws"))).scalar()
