@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binning import edge_array, edges_passed
+from ..sources.scratch import materialize
 from .ordering import add_position, null_safe_join, ordered_counts, quantiles, unpivot
 from .profile import row_count
 from .statistics import quantile_bin
@@ -181,9 +182,9 @@ def decile_lift(scored: DataFrame, score: str, label: str, key: str, n: int = 10
     Every row gets its global position (ties broken by key); the first ``rows mod n`` bands hold
     one row more.
     """
-    ranked = add_position(
-        scored.where(F.col(score).isNotNull()).select(key, label, (-F.col(score)).alias("__d")), ["__d", key], name="pos")
-    total = scored.where(F.col(score).isNotNull()).agg(F.struct(row_count().alias("n"), F.sum(label).alias("y"))).scalar()
+    rows = materialize(scored.where(F.col(score).isNotNull()).select(key, label, (-F.col(score)).alias("__d")), "positions")
+    ranked = add_position(rows, ["__d", key], name="pos", stored=True)
+    total = rows.agg(F.struct(row_count().alias("n"), F.sum(label).alias("y"))).scalar()
     rows = total.getField("n")
     size, extra = F.floor(rows / n), rows % n
     at = F.col("pos") - 1

@@ -50,6 +50,7 @@ def permute_labels(df: DataFrame, key: str, label: str, draws: int) -> DataFrame
     Keys are put in hash order; the first rows take the first class and so on, which deals every
     arrangement of the labels with equal chance.
     """
+    df = materialize(df.select(key, label), "true-labels")
     classes = df.groupBy(label).agg(row_count().alias("n")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(label).alias("v"), "n"))).alias("c"))
     ends = classes.select(F.transform("c", lambda x, i: F.struct(

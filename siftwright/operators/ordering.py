@@ -219,14 +219,16 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), *,
     return df.select(*keep, F.inline(cells))
 
 
-def add_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *, name: str = "position") -> DataFrame:
+def add_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), *, name: str = "position", stored: bool = False) -> DataFrame:
     """1-based position of every row in the ascending ``order`` of its group.
 
     ``order`` must identify a row inside the group (end it with the key), otherwise tied rows are
-    numbered arbitrarily. Equivalent to ``row_number`` but no group is sorted in one task.
+    numbered arbitrarily. Equivalent to ``row_number`` but no group is sorted in one task. The
+    input runs once: its rows are stored, and cuts, order and offsets read them from there; ``stored``
+    says that ``df`` is such a table already.
     """
     by = list(by)
-    bucketed = _with_bucket(df, F.struct(*by, *order))
+    bucketed = _with_bucket(df if stored else materialize(df, "positions"), F.struct(*by, *order))
     counted = bucketed.withColumn("__one", F.lit(1).cast("bigint"))
     offsets = _bucket_offsets(counted, by, ["__one"]).drop("__one_total")
     inside = Window.partitionBy(*by, _BUCKET).orderBy(*order)

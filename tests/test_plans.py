@@ -63,6 +63,13 @@ def test_order_statistics_read_stored_values(spark, folder, no_broadcast, name,
     assert f"{table}.parquet" not in plan and "values-" in plan
 
 
+@pytest.mark.parametrize("name", ["stratified_folds", "fold_sizes", "decile_lift", "label_permutation"])
+def test_positions_run_their_input_once(spark, folder, no_broadcast, name):
+    plan = _plan(QUERIES[name](spark, folder))
+    # all scans are of stored rows; the tables were read when those were written
+    assert "positions-" in plan and not re.findall(r"\w+\.parquet\]", plan)
+
+
 def test_duplicate_classes_use_hash_tables(spark, folder, no_broadcast):
     for name in ("dup_classes", "dup_row_flags"):
         assert "SortAggregate" not in _plan(QUERIES[name](spark, folder))
