@@ -47,6 +47,14 @@ def test_design_matrix_names_and_gaps(spark):
     assert list(row["features"].toArray()) == [6.0, 1.0, 0.0, 0.0]
 
 
+def test_a_column_without_any_value_is_a_constant(spark):
+    df = spark.createDataFrame([(i, i % 2, None, float(i)) for i in range(40)], "k int, label int, none double, v double")
+    m = L.design_matrix(df, "k", "label", ["none", "v"])
+    assert m.names == ["none", "v", "none_nobase"]
+    assert list(m.data.where("k = 3").first()["features"].toArray()) == [0.0, 3.0, 1.0]
+    assert L.oof_scores(m, {"logistic": lambda n: L.logistic(n)}, k=2).where("score > 0 and score < 1").count() == 40
+
+
 def test_weights(spark):
     df = spark.createDataFrame([(1,), (0,), (0,), (0,)], "label int")
     got = df.select("label", L.balanced_weight(df, "label").alias("b"), L.cost_weight("label").alias("c")).collect()
