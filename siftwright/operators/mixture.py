@@ -44,8 +44,8 @@ class Mixture:
 def fit_mixtures(df: DataFrame, column: str, ks: Sequence[int] = (1, 2, 3), n_init: int = 5, seed: int = 0) -> list[Mixture]:
     """Best fit of several starts for every k; one component has a closed form.
 
-    The assembled column is cached for the passes of all fits. Only fitted parameters, a few
-    numbers per model, reach the driver.
+    The fits pass over value counts, each value weighing its rows, so a step grows with the distinct
+    values and not with the rows. Only fitted parameters, a few numbers per model, reach the driver.
     """
     x = F.col(column).cast("double")
     clean = df.select(x.alias("x")).where(x.isNotNull())
@@ -54,14 +54,14 @@ def fit_mixtures(df: DataFrame, column: str, ks: Sequence[int] = (1, 2, 3), n_in
     if 1 in ks:
         loglik = -0.5 * m["n"] * (math.log(2 * math.pi * m["v"]) + 1.0)
         out.append(Mixture(m["n"], loglik, (Component(1.0, m["mu"], math.sqrt(m["v"])),)))
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(clean).select("features")
+    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(value_counts(df, column)).select("features", F.col("n").cast("double").alias("n"))
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         starts = [(k, seed + i) for k in ks if k > 1 for i in range(n_init)]
         # independent fits; threads only submit their jobs, the work runs on the executors
         with ThreadPoolExecutor(max_workers=min(8, len(starts) or 1)) as pool:
             fits = list(pool.map(
-                inheritable_thread_target(df.sparkSession)(lambda a: GaussianMixture(k=a[0], seed=a[1], maxIter=200, tol=0.01).fit(vectors)), starts))
+                inheritable_thread_target(df.sparkSession)(lambda a: GaussianMixture(k=a[0], seed=a[1], maxIter=200, tol=0.01, weightCol="n").fit(vectors)), starts))
         for k in [k for k in ks if k > 1]:
             best = max(
                 (m for (kk, _), m in zip(starts, fits) if kk == k), key=lambda m: m.summary.logLikelihood)

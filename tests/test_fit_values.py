@@ -32,3 +32,14 @@ def test_attribution_finds_the_planted_feature(spark, tmp_path):
     df.selectExpr("o_custkey", "o_totalprice", "o_orderstatus", "cast(d as timestamp) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     shares = RESULTS["sampled_shapley_values"](spark, str(tmp_path)).collect()
     assert shares[0]["feature"] == "n_orders" and shares[0]["share"] > 0.5 and sum(r["share"] for r in shares) == pytest.approx(1.0)
+
+
+def test_mixture_fits_pass_over_distinct_values(spark, monkeypatch):
+    from siftwright.operators import mixture as M
+
+    seen, fit = [], M.GaussianMixture.fit
+    monkeypatch.setattr(M.GaussianMixture, "fit", lambda self, rows: (seen.append(rows.count()), fit(self, rows))[1])
+    df = spark.range(600).selectExpr("cast(if(id % 4 = 0, 20, 5) + id % 7 as double) AS v")
+    one, two = M.fit_mixtures(df, "v", ks=(1, 2), n_init=2)
+    assert seen == [14, 14] and one.n == two.n == 600
+    assert two.components[0].weight == pytest.approx(0.75, abs=0.01) and two.components[1].mean == pytest.approx(23, abs=0.1)
