@@ -74,3 +74,15 @@ def test_queries_fit_full_forests(spark, folder, monkeypatch):
         with pytest.raises(InterruptedError):
             QUERIES[name](spark, folder)
         assert asked["forest"](400.0).getNumTrees() == 500, name
+
+
+def test_importance_holds_one_model_at_a_time(matrix, monkeypatch):
+    steps, store = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: (store(df, name), steps.append(name))[0])
+
+    def estimator(n):
+        steps.append("fit")
+        return L.logistic(n)
+
+    assert L.cross_importance(matrix, estimator, k=2, repeats=1).count() == 3
+    assert [s for s in steps if s in ("fit", "importance")] == ["fit", "importance"] * 2
