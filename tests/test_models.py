@@ -86,3 +86,19 @@ def test_importance_holds_one_model_at_a_time(matrix, monkeypatch):
 
     assert L.cross_importance(matrix, estimator, k=2, repeats=1).count() == 3
     assert [s for s in steps if s in ("fit", "importance")] == ["fit", "importance"] * 2
+
+
+def test_logistic_scores_end_at_the_optimum(spark):
+    """Two thousand rows; six of one class have thirty equal indicators, as customers without an order have."""
+    rng = np.random.default_rng(2)
+    rows = [(i, int(i >= 6 and rng.random() < 0.1), [float(i < 6)] * 30 + [float(rng.normal())]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, label int, x array<double>").withColumn("features", array_to_vector("x"))
+    m = L.Matrix(df.select("k", "label", "features"), "k", "label", [f"c{j}" for j in range(31)])
+    got = {(r["k"]): (r["fold"], r["score"]) for r in L.oof_scores(m, {"logistic": lambda n: L.logistic(n)}, k=2).collect()}
+    assert len(got) == 2000 and all(0 < s < 1 for _, s in got.values())
+    folded = L.stratified_folds(df, "k", "label", 2)
+    for f in range(2):
+        train = folded.where(f"fold <> {f}")
+        exact = L.logistic(train.count(), tol=1e-14).fit(train)
+        for r in L.positive_probability(exact, folded.where(f"fold = {f}"), "k").collect():
+            assert got[r["k"]] == (f, pytest.approx(r["score"], rel=1e-2, abs=1e-4))
