@@ -26,11 +26,16 @@ def issue(
     total: Column,
     evidence: Column,
 ) -> Column:
-    """One register entry over the columns of a detector's one-row aggregate; its text is computed."""
+    """One register entry over the columns of a detector's one-row aggregate; its text is computed.
+
+    The share is rounded as SQL engines round a double: scaled, to the next whole number, scaled back. Spark's own
+    ``round`` takes the shortest decimal text, which on a half goes the other way where scaling falls below it.
+    """
+    share = F.try_divide(affected * 100.0, total)
     return F.struct(
         F.lit(issue_id).alias("issue_id"), F.lit(table).alias("table"), F.lit(fields).alias("fields"),
         F.lit(issue).alias("issue"), affected.cast("bigint").alias("affected_rows"),
-        F.round(F.try_divide(affected * 100.0, total), 3).alias("affected_pct"),
+        (F.round(share * 1000, 0) / 1000).alias("affected_pct"),
         F.lit(severity).alias("severity"), evidence.alias("evidence"), F.lit(rule).alias("rule"),
         F.lit(resolution).alias("resolution"),
     )
