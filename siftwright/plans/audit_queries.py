@@ -82,7 +82,12 @@ UNION ALL SELECT 'mean_price', round(n.price, 6), round(a.price, 6), round(a.pri
 UNION ALL SELECT 'mean_quantity', round(n.quantity, 6), round(a.quantity, 6), round(a.quantity - n.quantity, 6) FROM n, a
 """)
 def impact_naive_audited(t: Tables) -> DataFrame:
-    return rounded(_impact(t, audited_lines(t), {"price": ("l_extendedprice", "price_clean"), "quantity": ("l_quantity", "l_quantity")}))
+    return impact_of(t, audited_lines(t))
+
+
+def impact_of(t: Tables, audited: DataFrame) -> DataFrame:
+    """The impact on prices and quantities of these audited lines."""
+    return rounded(_impact(t, audited, {"price": ("l_extendedprice", "price_clean"), "quantity": ("l_quantity", "l_quantity")}))
 
 
 def _impact(t: Tables, audited: DataFrame, metrics: dict[str, tuple[str, str]]) -> DataFrame:

@@ -86,3 +86,18 @@ def test_a_violated_check_is_not_on_the_clean_bill(spark, folder, tmp_path):
     failed = {r["name"] for r in C._clean_checks(t).where("not passed").collect()}
     assert failed == {"repeated order keys", "order dates with a time of day", "padded or variant categories"}
     assert C._clean_checks(Tables(spark, folder)).where("passed").count() == 9
+
+
+def test_reconcile_repairs_the_lines_once(spark, folder, monkeypatch):
+    from siftwright.plans import QUERIES, audit_queries, claim_queries
+
+    made, repair = [], audit_queries.audited_lines
+
+    def counted(*a, **kw):
+        made.append(1)
+        return repair(*a, **kw)
+
+    for module in (audit_queries, claim_queries):
+        monkeypatch.setattr(module, "audited_lines", counted)
+    assert QUERIES["reconcile"](spark, folder).where("passed").count() == 23
+    assert len(made) == 1
