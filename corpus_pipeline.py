@@ -41,13 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*docs.columns)
 
 
-#: A passage of over 50 words repeats if 51 words do, however short they are.
-PASSAGE_WORDS, PASSAGE_CORE = 51, 13
-
-
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of PASSAGE_WORDS words and more that occur elsewhere too, in the same text or in another."""
-    cleaned = suffix_dedup.remove_repeats(_carried(docs), "text", width=PASSAGE_WORDS, core=PASSAGE_CORE, unit="word", decode=True)
+    cleaned = suffix_dedup.remove_repeats(_carried(docs), "text", width=suffix_dedup.PASSAGE_WORDS, core=suffix_dedup.PASSAGE_CORE, unit="word", decode=True)
     return cleaned.select(*_restored(docs, text=F.col("kept"), n_chars=F.length("kept").cast("long")))
 
 

@@ -112,9 +112,9 @@ def op8_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs, "text").select(
+    return suffix_dedup.remove_repeats(docs, "text", passages=True).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
-        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"), F.col("removed").alias("removed_spans"))
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"), F.col("removed").alias("removed_spans"), "n_passage_words")
 
 
 def held_out(key) -> "F.Column":

@@ -33,18 +33,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, settle
 from .ship import ship
-from .text import count_words, whole
+from .text import whole
 
 WIDTH = 400
 CORE = 100
 PART_PIECES = 20_000
+#: A passage of over 50 words repeats if 51 words do, however short they are.
+PASSAGE_WORDS, PASSAGE_CORE = 51, 13
 _CHUNK = 1 << 18
+_CUT_ROWS = 4096
 _PLACE = np.uint64((1 << 21) - 1)
 _PAD = -1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,7 +59,7 @@ def symbols_of(text: str, unit: str) -> np.ndarray:
     """The text as an array: bytes as they are, words as hashes."""
     if unit == "byte":
         return np.frombuffer(text.encode(), np.uint8)
-    return np.array([xxhash.xxh64_intdigest(w) for w in text.encode().split()], np.uint64)
+    return hash_array(np.array(text.encode().split(), object), categorize=False)
 
 
 @lru_cache(maxsize=1)
@@ -267,6 +270,11 @@ def _covered(spans: list, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
+def _inside(spans: list | None, size: int, width: int) -> list[tuple[int, int]]:
+    """Union of the spans of a text of ``size`` symbols; none if no string of ``width`` fits into it."""
+    return [] if spans is None or size < width else _covered([(s["start"], s["end"]) for s in spans], size)
+
+
 def text_key(text: Column) -> Column:
     """First 16 bytes of the SHA-256 digest; texts of equal key are taken as equal."""
     return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
@@ -276,10 +284,11 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, uni
     """``t`` and ``spans`` (array of start, end) for each text of ``rows`` (t, text) that holds repeated strings.
 
     Spans count symbols (bytes or words) and may overlap. ``rows`` holds every document, copies too; a text that occurs twice is
-    repeated as a whole.
+    repeated as a whole. Its span ends at its number of bytes also where words are counted, so spans are to be read by :func:`_inside`.
     """
-    length = F.octet_length("text").cast("long") if unit == "byte" else count_words(F.col("text"))
-    long = rows.where(F.octet_length("text") >= (width if unit == "byte" else 2 * width - 1)).where(length >= width)
+    # the bytes of a text are a cheap bound of its words; texts of enough bytes with too few words give no piece
+    length = F.octet_length("text").cast("long")
+    long = rows.where(F.octet_length("text") >= (width if unit == "byte" else 2 * width - 1))
     # small tables that are joined by anchor are stored first: a join right above an aggregation cannot be split on a hot anchor
     twice_anchor = materialize(
         _pieces(long, width, core, unit, digests=False)
@@ -297,15 +306,22 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, uni
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
+        columns = ["anchor", "piece", "twice", "windows", "lead", "n", "bytes"]
+        out: list[tuple] = []
         for batch in batches:
             for t, text, asked_of in zip(batch["t"], batch["text"], batch["asked"]):
                 if t in seen:
                     continue
                 seen.add(t)
                 data = symbols_of(text, unit)
-                out = [(x["anchor"], x["piece"], x["twice"], x["windows"], x["lead"], x["n"], data[x["lo"] : x["lo"] + x["windows"] + width - 1].tobytes())
-                       for x in asked_of]
-                yield pd.DataFrame(out, columns=["anchor", "piece", "twice", "windows", "lead", "n", "bytes"])
+                for x in asked_of:
+                    piece = data[x["lo"] : x["lo"] + x["windows"] + width - 1].tobytes()
+                    out.append((x["anchor"], x["piece"], x["twice"], x["windows"], x["lead"], x["n"], piece))
+                    if len(out) == _CUT_ROWS:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     cut_schema = "anchor long, piece long, twice boolean, windows long, lead long, n long, bytes binary"
     pieces = materialize(long.join(asked, "t").select("t", "text", "asked").mapInPandas(cut, cut_schema), "piece-bytes")
@@ -331,7 +347,7 @@ def repeated_spans(rows: DataFrame, *, width: int = WIDTH, core: int = CORE, uni
 
 
 def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int = CORE, unit: str = "byte", part_pieces: int = PART_PIECES,
-                   decode: bool = False) -> DataFrame:
+                   decode: bool = False, passages: bool = False) -> DataFrame:
     """``df`` with ``kept`` (binary; with ``decode`` a string without the halves of characters at the cuts), ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (array of start, end).
 
     Every byte is removed that lies in a string of ``width`` bytes that also starts anywhere
@@ -339,37 +355,52 @@ def remove_repeats(df: DataFrame, text: str, *, width: int = WIDTH, core: int =
     empty. Rows of equal text are documents of their own, so both lose everything from
     ``width`` bytes on. With ``unit`` "word" the same is said of strings of ``width`` words (runs of
     other characters than ASCII white space): they go from the first byte of a run of such words to
-    its last, whatever blanks are in it. Columns of ``df`` named like results are replaced; no row is lost.
+    its last, whatever blanks are in it. ``passages`` adds ``n_passage_words``, the words that lie in a string of
+    PASSAGE_WORDS words which also starts elsewhere; they are counted on the input, whatever ``unit`` is, and not removed for it.
+    Columns of ``df`` named like results are replaced; no row is lost.
     """
     if unit not in _SIZE:
         raise ValueError(f"unit {unit!r}: byte or word")
     ship(df.sparkSession)
-    made = ["kept", "n_bytes", "n_removed", "n_spans", "removed"]
+    made = ["kept", "n_bytes", "n_removed", "n_spans", "removed"] + ["n_passage_words"] * passages
     rest = [c for c in df.columns if c not in made]
     rows = df.select(*rest, whole(F.col(text)).alias("_text")).withColumn("_t", text_key(F.col("_text")))
     texts = rows.select(F.col("_t").alias("t"), F.col("_text").alias("text"))
-    spans = settle(lambda: repeated_spans(texts, width=width, core=core, unit=unit, part_pieces=part_pieces), "spans")
-    joined = rows.join(spans, F.col("_t") == F.col("t"), "left")
 
-    @F.pandas_udf(f"kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>")
-    def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def spans() -> DataFrame:
+        return repeated_spans(texts, width=width, core=core, unit=unit, part_pieces=part_pieces)
+
+    def with_passages() -> DataFrame:
+        words = settle(lambda: repeated_spans(texts, width=PASSAGE_WORDS, core=PASSAGE_CORE, unit="word", part_pieces=part_pieces), "passages")
+        return settle(spans, "removed").join(words.withColumnRenamed("spans", "passages"), "t", "full")
+
+    found = settle(with_passages, "spans") if passages else settle(spans, "spans").withColumn("passages", F.lit(None).cast("array<struct<start:long,end:long>>"))
+    joined = rows.join(found, F.col("_t") == F.col("t"), "left")
+    schema = f"kept {'string' if decode else 'binary'}, n_bytes long, n_removed long, n_spans long, removed array<struct<start:long,end:long>>"
+
+    @F.pandas_udf(schema + ", n_passage_words long" * passages)
+    def keep(texts: pd.Series, spans_of: pd.Series, words_of: pd.Series) -> pd.DataFrame:
         out = []
-        for text_, spans_ in zip(texts, found):
+        for text_, spans_, words_ in zip(texts, spans_of, words_of):
             data = text_.encode()
             cuts = []
             if spans_ is not None:
-                cuts = [(s["start"], s["end"]) for s in spans_]
                 if unit == "word":
                     places = [m.span() for m in _WORD.finditer(data)]
-                    cuts = [(places[a][0], places[b - 1][1]) for a, b in _covered(cuts, len(places))]
-                cuts = _covered(cuts, len(data))
+                    cuts = [(places[a][0], places[b - 1][1]) for a, b in _inside(spans_, len(places), width)]
+                else:
+                    cuts = _inside(spans_, len(data), width)
             parts, at = [], 0
             for a, b in cuts:
                 parts.append(data[at:a])
                 at = b
             parts.append(data[at:])
             left = b"".join(parts)
-            out.append((left.decode("utf-8", "ignore") if decode else left, len(data), len(data) - len(left), len(cuts), [{"start": a, "end": b} for a, b in cuts]))
+            row = (left.decode("utf-8", "ignore") if decode else left, len(data), len(data) - len(left), len(cuts), [{"start": a, "end": b} for a, b in cuts])
+            if passages:
+                n_words = 0 if words_ is None else len(data.split())
+                row += (sum(b - a for a, b in _inside(words_, n_words, PASSAGE_WORDS)),)
+            out.append(row)
         return pd.DataFrame(out, columns=made)
 
-    return joined.select(*rest, keep("_text", "spans").alias("_r")).select(*rest, *[F.col(f"_r.{c}").alias(c) for c in made])
+    return joined.select(*rest, keep("_text", "spans", "passages").alias("_r")).select(*rest, *[F.col(f"_r.{c}").alias(c) for c in made])

@@ -115,3 +115,37 @@ def test_words_of_documents(spark, folder):
 def test_unknown_unit(none):
     with pytest.raises(ValueError):
         suffix_dedup.remove_repeats(none, "text", unit="line")
+
+
+def test_passages_of_short_words_beside_the_bytes(spark):
+    rnd = random.Random(7)
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    short, under, long = [f"{c}{d}" for c in "abcdef" for d in range(9)][:53], own(50), own(60)
+    words = [own(9) + short + own(20), own(3) + short, own(80), under + own(5), own(2) + under, own(4) + long, long + own(40), own(52), None, []]
+    few = own(45)  # over 400 bytes and a copy, but without 51 words
+    words += [words[7], short[:20] + own(3), few, few]
+    texts = [None if w is None else rnd.choice([" ", "\n"]).join(w) for w in words]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(3)
+    rows = sorted(suffix_dedup.remove_repeats(df, "text", passages=True).collect(), key=lambda r: r.n)
+    assert [r.n_passage_words for r in rows] == [53, 53, 0, 0, 0, 60, 60, 52, 0, 0, 52, 0, 0, 0]
+    assert len(" ".join(short)) < 400
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows] == result(df)
+
+
+def test_query_counts_words_of_passages(spark, folder):
+    import re
+
+    from siftwright.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", t) for k, t in texts.items()}
+    seen = Counter(tuple(w[i : i + 51]) for w in words.values() for i in range(len(w) - 50))
+    want = {}
+    for k, w in words.items():
+        gone = set()
+        for i in range(len(w) - 50):
+            if seen[tuple(w[i : i + 51])] > 1:
+                gone.update(range(i, i + 51))
+        want[k] = len(gone)
+    assert {r.doc_id: r.n_passage_words for r in QUERIES["op10_suffix_dedup"](spark, folder).collect()} == want
+    assert any(want.values())
