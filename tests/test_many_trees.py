@@ -61,3 +61,44 @@ def test_oof_scores_fit_no_forest_on_the_driver(folded, monkeypatch):
     scores = L.oof_scores(m, {"forest": lambda n: L.forest(20, depth=6)}, k=3)
     assert scores.columns == ["model", "k", "label", "fold", "score"]
     assert scores.where("score between 0 and 1").count() == 1500
+
+
+def test_a_fold_that_fits_a_task_is_not_sent_to_every_tree(folded, monkeypatch):
+    """A row travels once for each group of trees, and the packed trees score as the records do."""
+    from siftwright.operators import many_trees as M
+
+    def refuse(*a):
+        raise AssertionError("rows go to single trees")
+
+    monkeypatch.setattr(M, "_shared_trees", refuse)
+    blocks, growth = forest_blocks(folded, "k", 3, trees=4, depth=6, min_leaf=5, seed=1)
+    packed = {(r["f"], r["t"]): r["packed"] for r in forest_trees(blocks, growth, packed=True).collect()}
+    assert packed == {(r["f"], r["t"]): M._pack(np.frombuffer(r["records"], M._TREE)) for r in forest_trees(blocks, growth).collect()} and len(packed) == 12
+
+
+def test_trees_do_not_depend_on_pieces_or_on_rows_counted_together(monkeypatch):
+    from siftwright.operators import many_trees as M
+
+    rng = np.random.default_rng(8)
+    bins = rng.integers(0, 5, (3000, 3)).astype(np.uint8)
+    y, h = (bins[:, 0] > 2).astype(np.uint8) ^ (rng.random(3000) < 0.2), rng.integers(0, 2 ** 62, 3000).astype(np.uint64)
+    g = M.Growth(2, 3, 9, 2, 1, [np.arange(4.0)] * 3)
+    w = g.weights(h, 1, 2)
+    u = (M._mix(h + g.base(1, 2)) >> np.uint64(11)) / float(1 << 53)
+    assert (w == np.searchsorted(M._POISSON, u, side="right")).all()
+    grown = lambda *rows: np.sort(M._grow(g, 1, 2, 1, *rows), order="node")
+    whole = grown(bins, w, y)
+    order, first = M._alike(bins, y)
+    assert len(first) <= 250
+    alike = grown(bins[order[first]], np.add.reduceat(w[order], first, dtype=np.int32), y[order[first]])
+    monkeypatch.setattr(M, "PIECE", 16)
+    for other in (grown(bins, w, y), alike):
+        assert all((whole[c] == other[c]).all() for c in ("node", "feature", "value"))
+    total = np.zeros(3000)
+    M._add_leaf_values(total, [M._unpack(M._pack(whole))], bins)
+    place = {int(r["node"]): r for r in whole}
+    for i in range(0, 3000, 50):
+        node = 1
+        while place[node]["feature"] >= 0:
+            node = 2 * node + int(bins[i, place[node]["feature"]] > place[node]["cut"])
+        assert total[i] == place[node]["value"]
