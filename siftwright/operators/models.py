@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 from .evaluate import score_metrics
 from .features import fill_with_indicator, null_columns, one_hot
+from .forest_effects import binned_rows, shapley_sums, swapped_scores
 from .integrity import union_all
 from .many_fits import fit_many, held_out_scores
-from .many_trees import forest_blocks, forest_scores, forest_trees
+from .many_trees import Growth, forest_blocks, forest_scores, forest_trees
 from .ordering import add_position
 from .profile import row_count
 
@@ -202,13 +203,18 @@ def _fold_table(data: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------ out-of-fold scores
-def _forest_scores(data: DataFrame, key: str, k: int, estimator: RandomForestClassifier) -> DataFrame:
-    """Held-out scores of the estimator's forest for all folds; their trees are grown together and stored, not held by the driver."""
-    rows = data.select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("features").alias("x"))
+def _forests(rows: DataFrame, key: str, k: int, estimator: RandomForestClassifier) -> tuple[DataFrame, DataFrame, Growth]:
+    """Blocks of the rows (key, label, fold, array ``x``) and the trees of all folds, grown together and stored, not held by the driver."""
     blocks, growth = forest_blocks(
         rows, key, k, trees=estimator.getNumTrees(), depth=estimator.getMaxDepth(), min_leaf=estimator.getMinInstancesPerNode(), seed=estimator.getSeed())
     blocks = materialize(blocks, "forest-blocks")
-    return forest_scores(blocks, materialize(forest_trees(blocks, growth), "forest-trees"), growth, key)
+    return blocks, materialize(forest_trees(blocks, growth, packed=True), "forest-trees"), growth
+
+
+def _forest_scores(data: DataFrame, key: str, k: int, estimator: RandomForestClassifier) -> DataFrame:
+    """Held-out scores of the estimator's forest for all folds."""
+    rows = data.select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("features").alias("x"))
+    return forest_scores(*_forests(rows, key, k, estimator), key)
 
 
 def _plain_logistic(estimator: Estimator) -> bool:
@@ -352,14 +358,15 @@ def label_signal(matrix: Matrix, estimators: Mapping[str, Callable[[float], Esti
 
 
 # ------------------------------------------------------------------ importance
-def _donors(rows: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
-    """A random one-to-one pairing of rows per repeat: (rep, key, donor vector ``z``)."""
-    reps = rows.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
-    a = reps.withColumn("__h", _shuffle_hash(F.concat(F.lit(f"{seed}a"), F.col("rep").cast("string")), key)).drop("x")
-    b = reps.withColumn("__h", _shuffle_hash(F.concat(F.lit(f"{seed}b"), F.col("rep").cast("string")), key))
-    left = add_position(a, ["__h", key], ["rep"], name="__pos").select("rep", key, "__pos")
-    right = add_position(b, ["__h", key], ["rep"], name="__pos").select("rep", "__pos", F.col("x").alias("z"))
-    return left.join(right, ["rep", "__pos"]).drop("__pos")
+def _donors(rows: DataFrame, key: str, repeats: int, seed: int, by: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
+    """A random one-to-one pairing of rows per repeat, inside the groups of ``by``: (rep, key, donor vector ``z``) with the columns ``by`` and ``own`` of the row."""
+    by = list(by)
+    reps = rows.select(*by, key, "x", *[c for c in own if c != "x"], F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    a = reps.withColumn("__h", _shuffle_hash(F.concat(F.lit(f"{seed}a"), F.col("rep").cast("string")), key)).select(*by, key, *own, "rep", "__h")
+    b = reps.withColumn("__h", _shuffle_hash(F.concat(F.lit(f"{seed}b"), F.col("rep").cast("string")), key)).select(*by, key, "x", "rep", "__h")
+    left = add_position(a, ["__h", key], [*by, "rep"], name="__pos").select(*by, "rep", key, *own, "__pos")
+    right = add_position(b, ["__h", key], [*by, "rep"], name="__pos").select(*by, "rep", "__pos", F.col("x").alias("z"))
+    return left.join(right, [*by, "rep", "__pos"]).drop("__pos")
 
 
 def _spread(rows: DataFrame, *by: str) -> DataFrame:
@@ -389,10 +396,13 @@ def permutation_importance(model: Model, held: DataFrame, key: str, names: Seque
 
 
 def cross_importance(matrix: Matrix, estimator: Callable[[float], Estimator], *, k: int = 5, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Permutation importance averaged over folds, so that every row is held out exactly once."""
+    """Permutation importance averaged over folds, so that every row is held out exactly once. The forests of all folds are grown and scored together."""
     data = _fold_table(matrix.data.withColumnRenamed(matrix.label, "label"), matrix.key, k, seed)
     try:
         n = data.count()
+        made = estimator(n * (k - 1) / k)
+        if isinstance(made, RandomForestClassifier):
+            return _over_folds(materialize(_forest_importance(data, matrix.key, matrix.names, k, made, repeats, seed), "importance"))
 
         def one(f: int) -> DataFrame:
             model = estimator(n * (k - 1) / k).fit(data.where(F.col("fold") != f))
@@ -403,10 +413,26 @@ def cross_importance(matrix: Matrix, estimator: Callable[[float], Estimator], *,
         parts = union_all([one(f) for f in range(k)])
     finally:
         data.unpersist()
+    return _over_folds(parts)
+
+
+def _over_folds(parts: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(
         F.avg("perm_importance").alias("perm_importance"), F.stddev_pop("perm_importance").alias("fold_sd"))
 
 
+def _forest_importance(data: DataFrame, key: str, names: Sequence[str], k: int, estimator: RandomForestClassifier, repeats: int, seed: int) -> DataFrame:
+    """:func:`permutation_importance` in every fold, by the forest that did not see it: (fold, feature, perm_importance)."""
+    rows = data.select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("features").alias("x"))
+    _, trees, growth = _forests(rows, key, k, estimator)
+    binned = materialize(binned_rows(rows, growth), "importance-rows")
+    scored = swapped_scores(_donors(binned, key, repeats, seed, ["fold"], ["label", "x"]), trees, growth)
+    auc = materialize(score_metrics(scored, "score", "label", ["fold", "j", "rep"]).select("fold", "j", "rep", "roc_auc"), "importance-auc")
+    base = auc.where("j < 0").select("fold", F.col("roc_auc").alias("base"))
+    name = F.get(F.array(*[F.lit(n) for n in names]), F.col("j"))
+    return auc.where("j >= 0").join(base, "fold").groupBy("fold", name.alias("feature")).agg(F.avg(F.col("base") - F.col("roc_auc")).alias("perm_importance"))
+
+
 def sampled_shapley(model: Model, rows: DataFrame, key: str, names: Sequence[str], *, repeats: int = 4, seed: int = 42) -> DataFrame:
     """Mean absolute Shapley contribution per feature for any model, by sampled feature orders.
 
@@ -437,9 +463,22 @@ def sampled_shapley(model: Model, rows: DataFrame, key: str, names: Sequence[str
     means = per_row.agg(*[F.avg(F.abs(f"c{j}")).alias(f"c{j}") for j in range(d)])
     # one row, kept for the shares: the scores are made once
     stored = materialize(means, "shapley-means")
-    per = stored.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("mean_abs")) for j in range(d)])))
+    return _shares(stored.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("mean_abs")) for j in range(d)]))), names)
+
+
+def _shares(per: DataFrame, names: Sequence[str]) -> DataFrame:
     total = per.agg(F.sum("mean_abs")).scalar()
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col("j"))
     return per.select(name.alias("feature"), "mean_abs", F.try_divide("mean_abs", total).alias("share")).orderBy(
         F.desc("share"), "feature")
 
+
+def forest_shapley(matrix: Matrix, estimator: RandomForestClassifier, *, repeats: int = 4, seed: int = 42) -> DataFrame:
+    """:func:`sampled_shapley` of the estimator's forest on all rows, which neither the driver nor Spark's model holds: trees and walks meet as tables."""
+    # one forest, which leaves out no row: fold 0 has none
+    rows = materialize(matrix.data.select(
+        matrix.key, F.col(matrix.label).cast("int").alias("label"), F.lit(1).alias("fold"), vector_to_array("features").alias("x")), "shapley-rows")
+    _, trees, growth = _forests(rows, matrix.key, 1, estimator)
+    binned = materialize(binned_rows(rows.select(matrix.key, "x"), growth), "shapley-bins")
+    sums = shapley_sums(_donors(binned, matrix.key, repeats, seed, own=["x"]), matrix.key, trees, growth, repeats=repeats, seed=seed)
+    return _shares(materialize(sums.select("j", (F.col("sum_abs") / F.col("rows")).alias("mean_abs")), "shapley-means"), matrix.names)
