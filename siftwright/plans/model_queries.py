@@ -207,10 +207,7 @@ def _share_check(shares: DataFrame) -> DataFrame:
 
 @result("sampled_shapley_values")
 def sampled_shapley_values(t: Tables) -> DataFrame:
-    m = order_matrix(t)
-    data = materialize(m.data, "order-matrix")
-    model = L.forest(100).fit(data)
-    return L.sampled_shapley(model, data, m.key, m.names, repeats=4)
+    return L.forest_shapley(order_matrix(t), L.forest(100), repeats=4)
 
 
 @query("sampled_shapley", sql=_SHARES.format(_NAMED))
