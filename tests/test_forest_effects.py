@@ -29,6 +29,15 @@ def test_importance_of_forests_grown_together(matrix, monkeypatch):
     assert set(found) == {"signal", "noise"} and found["signal"] > 0.2 > abs(found["noise"])
 
 
+def test_forest_scores_leave_no_trees_behind(matrix):
+    """Only folds, scores and their union stay stored."""
+    from siftwright.sources import scratch
+
+    before = len(scratch._stored)
+    assert L.oof_scores(matrix, {"forest": lambda n: L.forest(4, depth=3)}, k=2).count() == 300
+    assert [p.split("/")[-1].rsplit("-", 1)[0] for p in scratch._stored[before:]] == ["folds", "forest-scores", "oof"]
+
+
 def test_attribution_of_a_forest_that_is_a_table(matrix, monkeypatch):
     monkeypatch.setattr(L.RandomForestClassifier, "fit", _refuse)
     first, other = L.forest_shapley(matrix, L.forest(10, depth=5), repeats=2).collect()
