@@ -421,9 +421,14 @@ def _over_folds(parts: DataFrame) -> DataFrame:
         F.avg("perm_importance").alias("perm_importance"), F.stddev_pop("perm_importance").alias("fold_sd"))
 
 
+def _given_label(label: str) -> Column:
+    """The label as a number; a row without one is an error, as in Spark's own fits."""
+    return F.coalesce(F.col(label).cast("int"), F.raise_error("Labels MUST NOT be Null or NaN").cast("int")).alias("label")
+
+
 def _forest_importance(data: DataFrame, key: str, names: Sequence[str], k: int, estimator: RandomForestClassifier, repeats: int, seed: int) -> DataFrame:
     """:func:`permutation_importance` in every fold, by the forest that did not see it: (fold, feature, perm_importance)."""
-    rows = data.select(key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("features").alias("x"))
+    rows = data.select(key, _given_label("label"), "fold", vector_to_array("features").alias("x"))
     _, trees, growth = _forests(rows, key, k, estimator)
     binned = materialize(binned_rows(rows, growth), "importance-rows")
     scored = swapped_scores(_donors(binned, key, repeats, seed, ["fold"], ["label", "x"]), trees, growth)
@@ -477,7 +482,7 @@ def forest_shapley(matrix: Matrix, estimator: RandomForestClassifier, *, repeats
     """:func:`sampled_shapley` of the estimator's forest on all rows, which neither the driver nor Spark's model holds: trees and walks meet as tables."""
     # one forest, which leaves out no row: fold 0 has none
     rows = matrix.data.select(
-        matrix.key, F.col(matrix.label).cast("int").alias("label"), F.lit(1).alias("fold"), vector_to_array("features").alias("x"))
+        matrix.key, _given_label(matrix.label), F.lit(1).alias("fold"), vector_to_array("features").alias("x"))
 
     def means() -> DataFrame:
         stored = materialize(rows, "shapley-rows")

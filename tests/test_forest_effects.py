@@ -73,3 +73,11 @@ def test_effects_against_trees_walked_row_by_row(spark):
                       (abs(walk(0, x) - walk(0, [z[0], x[1]])), abs(walk(0, [z[0], x[1]]) - walk(0, z)))]) for f, _, _, x, z in rows if f == 0]
     for j in range(2):
         assert sum(min(a[j], b[j]) for a, b in either) - 1e-9 <= found[j]["sum_abs"] <= sum(max(a[j], b[j]) for a, b in either) + 1e-9
+
+
+def test_a_row_without_a_label_is_an_error(matrix):
+    gap = L.Matrix(matrix.data.withColumn("label", F.when(F.col("k") != 5, F.col("label"))), "k", "label", matrix.names)
+    with pytest.raises(Exception, match="MUST NOT be Null"):
+        L.cross_importance(gap, lambda n: L.forest(2, depth=2), k=2, repeats=1).collect()
+    with pytest.raises(Exception, match="MUST NOT be Null"):
+        L.forest_shapley(gap, L.forest(2, depth=2), repeats=1).collect()
